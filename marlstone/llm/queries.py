@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import langid, quality_rules, secret_scan, simhash, token_counts
+from marlstone.llm import langid, pieces, quality_rules, ranker, secret_scan, simhash, token_counts, toxicity
 from marlstone.llm._common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(read(spark, sf_dir, "documents"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -26,6 +30,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("held_out", langid.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = ranker.train(docs, read(spark, sf_dir, "labels").where(~ranker.held_out()))
+    return ranker.score(docs, model).withColumn("held_out", ranker.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.find_secrets(read(spark, sf_dir, "documents")))
 
@@ -39,5 +49,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules, op4_language_id, op6_secret_scans, op7_token_counts, op8_simhash_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op4_language_id, op5_quality_classifier, op6_secret_scans, op7_token_counts, op8_simhash_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
