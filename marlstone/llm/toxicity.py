@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -32,9 +33,15 @@ GRAMS = (3, 4, 5)
 DIM = 6
 SAMPLE_ROWS = 8_000
 SAMPLE_CHARS = 20_000
+#: Rarer words are left out of training: there they only tell single texts apart.
+MIN_DOCS = 3
 STEPS = 120
 RATE = 0.1
 L2 = 2e-6
+#: A word that occurs n times weighs n to this power, so that one repeated word is not the whole text.
+DAMP = 0.75
+#: So many words of vector zero are added to every text, else the few words of a short one weigh too much.
+PAD = 60
 #: A text's mean is multiplied by this, else a few words among hundreds cannot move it.
 GAIN = 50.0
 CUT = 0.5
@@ -91,13 +98,14 @@ class Model:
         for d in docs:
             for w in set(d):
                 seen[w] = seen.get(w, 0) + 1
-        index = {w: i for i, w in enumerate(w for w, n in seen.items() if n > 1)}  # a word of one document tells nothing of others
+        index = {w: i for i, w in enumerate(w for w, n in seen.items() if n >= MIN_DOCS)}
         owner, item, weight = [], [], []
         for i, d in enumerate(docs):
             ids, n = np.unique([index[w] for w in d if w in index] or np.zeros(0, np.int64), return_counts=True)
             owner.append(np.full(len(ids), i))
             item.append(ids.astype(np.int64))
-            weight.append(n / max(1, len(d)))
+            damped = n**DAMP
+            weight.append(damped / (damped.sum() + PAD))
         by_doc = _Rows(np.concatenate(owner), np.concatenate(item), np.concatenate(weight), len(docs), len(index))
         bags = [subwords(w) for w in index]
         sizes = np.array([len(b) for b in bags], np.int64)
@@ -147,7 +155,9 @@ def scorer(model: Model) -> Callable[[list[str]], list]:
         for i, text in enumerate(texts):
             words = words_of(text)
             if words:
-                z[i] += sum(map(known.__getitem__, words)) / len(words)
+                counts = Counter(words)
+                damped = np.fromiter(counts.values(), np.float64, len(counts)) ** DAMP
+                z[i] += damped @ np.fromiter(map(known.__getitem__, counts), np.float64, len(counts)) / (damped.sum() + PAD)
         return [1 / (1 + np.exp(-np.clip(z, -60, 60)))]
 
     return run
