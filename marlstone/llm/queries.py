@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import langid, pieces, quality_rules, ranker, secret_scan, simhash, token_counts, toxicity
+from marlstone.llm import decontaminate, langid, pieces, quality_rules, ranker, secret_scan, simhash, token_counts, toxicity
 from marlstone.llm._common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sentencepiece, op3_quality_rules, op4_language_id, op5_quality_classifier, op6_secret_scans, op7_token_counts, op8_simhash_dedup, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_language_id, op5_quality_classifier, op6_secret_scans, op7_token_counts, op8_simhash_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
