@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, langid, pieces, quality_rules, ranker, secret_scan, simhash, token_counts, toxicity
+from marlstone.llm import decontaminate, langid, pieces, quality_rules, ranker, secret_scan, simhash, suffix_dedup, token_counts, toxicity
 from marlstone.llm._common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +53,15 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_language_id, op5_quality_classifier, op6_secret_scans, op7_token_counts, op8_simhash_dedup, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_language_id, op5_quality_classifier, op6_secret_scans, op7_token_counts, op8_simhash_dedup, op9_suffix_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
