@@ -53,6 +53,13 @@ def in_pool(df: DataFrame, pool: DataFrame, code: str = "code") -> DataFrame:
     return marked.join(F.broadcast(empty), F.lit(True)).where(F.col("_open") | F.col("_code").isNotNull()).drop("_open", "_code")  # empty: one row
 
 
+def date_slice(df: DataFrame, start: Column | None = None, end: Column | None = None, lookback_days: int = 0, date: str = "date") -> DataFrame:
+    """Rows from ``lookback_days`` before ``start`` up to ``end``; the filter reaches the scan."""
+    if start is not None:
+        df = df.where(F.col(date) >= F.date_sub(start, lookback_days))
+    return df if end is None else df.where(F.col(date) <= end)
+
+
 def unique_by_key(df: DataFrame, values: list[str], keys: tuple[str, ...] = ("date", "code")) -> DataFrame:
     """One row per key, with each column's largest value, where a table may list a key more than once."""
     return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])

@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators.panels import in_pool, nan_to_null, normalise_code, normalise_panel, parse_date
+from marlstone.operators.panels import date_slice, in_pool, nan_to_null, normalise_code, normalise_panel, parse_date
 
 
 @dataclass(frozen=True)
@@ -71,10 +71,7 @@ def clean_codes(df: DataFrame, code: str = "stock_code") -> DataFrame:
 def load_panel(spark: SparkSession, root: str, name: str, start: Column | None = None, end: Column | None = None, pool: DataFrame | None = None, lookback_days: int = 0) -> DataFrame:
     """(date, code, measures) with keys in one form, from ``lookback_days`` before ``start`` to ``end``, codes of the pool."""
     df = normalise_panel(spark.read.parquet(f"{root}/{name}.parquet"))
-    if start is not None:
-        df = df.where(F.col("date") >= F.date_sub(start, lookback_days))
-    if end is not None:
-        df = df.where(F.col("date") <= end)
+    df = date_slice(df, start, end, lookback_days)
     return df if pool is None else in_pool(df, pool)
 
 
