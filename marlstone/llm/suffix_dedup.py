@@ -214,9 +214,8 @@ class SuffixArray:
         before = np.full(self.n, -1, np.int64)
         before[w[1:]] = w[:-1]
         common = np.zeros(self.n, np.int64)
-        # Kasai's pass, all segments in step; a carried length holds only if the earlier neighbour's successor is a window too
-        order = np.argsort(-(self.ends - self.starts), kind="stable")
-        starts, counts = self.starts[order], (self.ends - self.starts)[order] - WIDTH + 1
+        # Kasai's pass, all stretches of windows in step; a carried length holds only if the earlier neighbour's successor is a window too
+        starts, counts = _stretches(self.starts, self.ends - self.starts - WIDTH + 1)
         carry = np.zeros(len(starts), np.int64)
         for t in range(int(counts[0])):
             live = int(np.searchsorted(-counts, -t, side="left"))
@@ -271,9 +270,24 @@ class SuffixArray:
         return sign
 
 
+def _stretches(starts: np.ndarray, counts: np.ndarray, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(start, windows) of segments cut into stretches of at most so many windows, the longest first."""
+    pieces = -(-counts // most)
+    owner = np.repeat(np.arange(len(starts)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    size = np.minimum(counts[owner] - nth * most, most)
+    order = np.argsort(-size, kind="stable")
+    return (starts[owner] + nth * most)[order], size[order]
+
+
 def _leading(d: np.ndarray) -> np.ndarray:
-    """Whole zero bytes at the top of each number."""
-    return sum((d < np.uint64(1 << k)).astype(np.int64) for k in range(8, 64, 8))
+    """Whole zero bytes at the top of each number that is not zero."""
+    out = np.zeros(len(d), np.int64)
+    for size in (4, 2, 1):
+        small = d < np.uint64(1 << (64 - 8 * size))
+        out += size * small
+        d = np.where(small, d << np.uint64(8 * size), d)
+    return out
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -391,7 +405,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = dealt.groupBy("one.t1", "one.t2", "one.ident").agg(
         F.collect_list(F.struct(*name, "shard", "block", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("wanted")
     )
-    cut = rows.join(wanted.hint("shuffle_hash"), ["t1", "t2", "ident"]).select("text", "wanted")
+    long = rows.where(F.octet_length("text") >= WIDTH)
+    cut = long.join(wanted.hint("shuffle_hash"), ["t1", "t2", "ident"]).select("text", "wanted")
     raw = cut.mapInArrow(_cut, "key long, s1 long, s2 long, shard long, block int, i int, j int, raw binary")
     solved = raw.groupBy("shard", "i", "j").applyInArrow(_solve, "key long, s1 long, s2 long, a int, b int")
     runs = whole.unionByName(solved)
@@ -403,6 +418,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col``, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``df``."""
     spans = checkpointed(repeated_spans(df, id_col, text_col))
     rows = df.select(F.col(id_col), F.col(text_col).alias("text"), *_identity(text_col))
-    joined = rows.join(spans.hint("shuffle_hash"), ["t1", "t2"], "left").select(id_col, "text", "spans")
+    long = F.coalesce(F.octet_length("text") >= WIDTH, F.lit(False))
+    joined = rows.where(long).join(spans.hint("shuffle_hash"), ["t1", "t2"], "left").select(id_col, "text", "spans")
+    joined = joined.unionByName(rows.where(~long).select(id_col, "text"), allowMissingColumns=True)
     kind = df.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(_keep, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
