@@ -45,6 +45,7 @@ from marlstone.llm._common import bounded_batches, checkpointed, ensure_checkpoi
 WIDTH = 400
 GRAM = 32
 SHARD_BYTES = 2 << 20
+MOST_PARTITIONS = 20_000
 #: Bytes that windows are hashed over at once.
 BUFFER = 1 << 20
 SEGMENT_SCHEMA = "key long, s1 long, s2 long, t1 long, t2 long, ident string, start int, windows int, several boolean"
@@ -386,12 +387,14 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ident")
     rows = df.select(*_identity(text_col), ident, F.col(text_col).alias("text"))
     found = _stored(rows.where(F.octet_length("text") >= WIDTH).mapInArrow(_emit, SEGMENT_SCHEMA))
+    # most keys occur once: they go before anything wider is dealt out
+    again = found.groupBy("key").agg(F.count("*").alias("all"), F.max("several").alias("several")).where("all > 1 or several").select("key")
+    found = _stored(found.join(again, "key", "left_semi"))
     name = ["key", "s1", "s2"]
     distinct = found.groupBy(*name).agg(F.count("*").alias("times"), F.max("several").alias("several"), F.min(F.struct("t1", "t2", "ident", "start", "windows")).alias("one"))
     distinct = checkpointed(distinct)
     size = F.col("one.windows") + (WIDTH - 1)
-    buckets = distinct.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.sum("times").alias("all"), F.max("several").alias("_several"), F.sum(size.cast("long")).alias("size"))
-    buckets = buckets.where("all > 1 or _several")
+    buckets = distinct.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.max("several").alias("_several"), F.sum(size.cast("long")).alias("size"))
     known = checkpointed(distinct.join(buckets, F.col("key") == F.col("_key")).drop("_key"))
     whole = known.where("times > 1").select(*name, F.lit(0).alias("a"), F.col("one.windows").alias("b"))
     # segments that occur once are searched for, among them and those that occur more often
@@ -408,7 +411,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = rows.where(F.octet_length("text") >= WIDTH)
     cut = long.join(wanted.hint("shuffle_hash"), ["t1", "t2", "ident"]).select("text", "wanted")
     raw = cut.mapInArrow(_cut, "key long, s1 long, s2 long, shard long, block int, i int, j int, raw binary")
-    solved = raw.groupBy("shard", "i", "j").applyInArrow(_solve, "key long, s1 long, s2 long, a int, b int")
+    # shards are of one size, so a partition for each
+    solved = raw.repartition(min(shards, MOST_PARTITIONS), "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(_solve, "key long, s1 long, s2 long, a int, b int")
     runs = whole.unionByName(solved)
     at = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (WIDTH - 1)).alias("b"))
     return found.join(runs, name).groupBy("t1", "t2").agg(F.collect_set(at).alias("spans"))
