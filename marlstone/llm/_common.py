@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +23,28 @@ BATCH_ROWS = 4000
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, so that memory per worker does not depend on text lengths."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, by sending it unless their path has it already."""
+    sc: SparkContext = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if sc.applicationId in _SHIPPED or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="marlstone-")), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names; make one only on a local master that names none."""
     sc = spark.sparkContext
