@@ -216,13 +216,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     id; of them one stays for each text.
     """
     found = near_duplicates(df, id_col, text_col)
-    keep = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).count()
-    keep = checkpointed(keep)
-    repeated = keep.where("count > 1").select("_kept")
-    joined = df.join(keep.where("count = 1").select("_kept").hint("shuffle_hash"), F.col(id_col) == F.col("_kept"), "left_semi")
+    keep = checkpointed(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count())
+    # joined by name on one column, so whatever else the rows have cannot clash
+    once, repeated = keep.where("count = 1").select(id_col), keep.where("count > 1").select(id_col)
+    joined = df.join(once.hint("shuffle_hash"), id_col, "left_semi").select(*df.columns)
     if repeated.head(1):
-        one = df.join(repeated.hint("shuffle_hash"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-        joined = joined.unionByName(one)
+        joined = joined.unionByName(df.join(repeated.hint("shuffle_hash"), id_col, "left_semi").select(*df.columns).dropDuplicates([id_col]))
     nulls = df.where(F.col(id_col).isNull())
     if nulls.head(1):
         joined = joined.unionByName(nulls.dropDuplicates([text_col]))
