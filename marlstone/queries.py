@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def factor_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compute(SampleCatalog(spark, sf_dir), name)
-    return out.select(date_key(F.col("date")).alias("date"), "code", F.round("value", 10).alias("value"))
+    return out.select(date_key(F.col("date")).alias("date"), "code", "value")
 
 
 def factor_queries() -> dict[str, Query]:
@@ -195,7 +195,7 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fused_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = build(SampleCatalog(spark, sf_dir), list(FUSED))
-    return _dated(out.select("factor", "date", "code", F.round("value", 10).alias("value")))
+    return _dated(out.select("factor", "date", "code", "value"))
 
 
 def wide_export(spark: SparkSession, sf_dir: str) -> DataFrame:

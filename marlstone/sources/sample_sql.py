@@ -167,4 +167,4 @@ def factor_sql(spec: FactorSpec) -> str:
     trim = f" WHERE n_ > {spec.trim}" if spec.trim else ""
     count = ", row_number() OVER (PARTITION BY code ORDER BY date DESC) AS n_" if spec.trim else ""
     source = f"panel AS (SELECT * FROM ({panel(spec.panel, sorted(_columns(spec.signal)))}))"
-    return f"WITH {', '.join([source, *ctes])} SELECT strftime(date, '%Y%m%d') AS date, code, round(value, 10) AS value FROM (SELECT date, code, value{count} FROM ({final})){trim}"
+    return f"WITH {', '.join([source, *ctes])} SELECT strftime(date, '%Y%m%d') AS date, code, value FROM (SELECT date, code, value{count} FROM ({final})){trim}"
