@@ -79,7 +79,7 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str], strict: bool = True
     return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest if c != "_source"])
 
 
-def backfill(df: DataFrame, calendar: DataFrame, today: Column, code: str = "code", date: str = "date") -> DataFrame:
+def backfill(df: DataFrame, calendar: DataFrame, today: Column, code: str = "code", date: str = "date", calendar_date: str = "date") -> DataFrame:
     """``df`` and, for codes whose last row is before ``today``, that row again on each later open day, marked is_backfill.
 
     Only open days after the latest of those last rows and up to ``today`` are filled.
@@ -87,7 +87,7 @@ def backfill(df: DataFrame, calendar: DataFrame, today: Column, code: str = "cod
     marked = df.withColumn("is_backfill", F.coalesce("is_backfill", F.lit(False)) if "is_backfill" in df.columns else F.lit(False))
     last = marked.groupBy(code).agg(F.max(date).alias("_last")).where(F.col("_last") < today)
     latest = last.agg(F.max("_last").alias("_latest"))  # one row
-    days = calendar.where("is_open = 1").select(F.col(date).alias("_day")).distinct().join(F.broadcast(latest), (F.col("_day") > F.col("_latest")) & (F.col("_day") <= today)).select("_day")
+    days = calendar.where("is_open = 1").select(F.col(calendar_date).alias("_day")).distinct().join(F.broadcast(latest), (F.col("_day") > F.col("_latest")) & (F.col("_day") <= today)).select("_day")
     spread = days.agg(F.collect_set("_day").alias("_days"))  # one row; the days since the latest stale date
     stale = marked.join(last, code).where(F.col(date) == F.col("_last")).join(F.broadcast(spread), F.lit(True))
     filled = stale.withColumn(date, F.explode("_days")).withColumn("is_backfill", F.lit(True))

@@ -20,8 +20,9 @@ def fetch_start(table: Table, last: dt.date | None, first: dt.date, stale_days:
 def stale_days(df: DataFrame, date: str, code: str, least_share: float = 0.5) -> int:
     """Days between the table's last date and the one that most codes reach."""
     last = df.groupBy(code).agg(F.max(date).alias("_last"))
-    row = last.agg(F.max("_last").alias("a"), F.expr(f"percentile_disc({1 - least_share}) WITHIN GROUP (ORDER BY _last)").alias("b")).first()
-    return (row.a - row.b).days if row.a and row.b else 0
+    days = last.select(F.unix_date(F.col("_last")).alias("d"))
+    row = days.agg(F.max("d").alias("a"), F.expr(f"percentile_disc({1 - least_share}) WITHIN GROUP (ORDER BY d)").alias("b")).first()
+    return int(row.a - row.b) if row.a is not None else 0
 
 
 def update(name: str, stored: DataFrame | None, fetch: Callable[[dt.date, dt.date], DataFrame], first: dt.date, today: dt.date, calendar: DataFrame | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ class FactorStore:
         self.spark, self.root = spark, root
 
     def _file(self, name: str) -> str:
-        return str(PurePosixPath(self.root) / name / "_current.json") if "://" not in self.root else f"{self.root}/{name}/_current.json"
+        return str(PurePosixPath(self.root) / name / "current.json") if "://" not in self.root else f"{self.root}/{name}/current.json"
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
