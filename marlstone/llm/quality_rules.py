@@ -124,10 +124,12 @@ def fences(sketch: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return q.groupBy(*groups).agg(*out)
 
 
-def group_fences(sketch: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    """Fences of every (language, source), small groups backed off."""
+def group_fences(groups: DataFrame, sketch: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """Fences of every (language, source) of ``groups``, small ones and those without a sketch backed off."""
     limits = [f"{k}_{side}" for k, r in RATIOS.items() for side in ("hi", "lo") if side == "hi" or r[3] is not None]
-    own = fences(sketch, (lang_col, source_col))
+    own = fences(sketch, (lang_col, source_col)).withColumnsRenamed({lang_col: "_own_lang", source_col: "_own_source"})
+    same = F.col(lang_col).eqNullSafe(F.col("_own_lang")) & F.col(source_col).eqNullSafe(F.col("_own_source"))
+    own = groups.select(lang_col, source_col).distinct().join(own, same, "left")
     of_lang = fences(merged(sketch, (lang_col,)), (lang_col,)).select(F.col(lang_col).alias("_lang"), F.col("docs").alias("_docs"), *[F.col(c).alias(f"l_{c}") for c in limits])
     of_all = fences(merged(sketch, ()).withColumn("_all", F.lit(0)), ("_all",)).select(*[F.col(c).alias(f"a_{c}") for c in limits])
     joined = own.join(of_lang, F.col(lang_col).eqNullSafe(F.col("_lang")), "left").join(F.broadcast(of_all), F.lit(True), "left")  # of_all: one row
@@ -163,5 +165,5 @@ def quality_rules(df: DataFrame, lang_col: str = "lang", source_col: str = "sour
     """doc_id, the counts, base_failed, failed_rules and kept of every row of ``df``."""
     features = checkpointed(count_features(df, carry=(lang_col, source_col)))
     sketch = checkpointed(sketches(features.where(~base_failed()), (lang_col, source_col)))
-    known = group_fences(sketch, lang_col, source_col)
+    known = group_fences(features, sketch, lang_col, source_col)
     return apply_fences(features, known, lang_col, source_col).select("doc_id", *COUNTS, "base_failed", "failed_rules", "kept")
