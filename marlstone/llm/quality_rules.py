@@ -39,7 +39,7 @@ SALTS = 32
 RATIOS = {
     "symbols": ("n_symbols", "n_words", 0.05, None),
     "dup_lines": ("n_dup_lines", "n_lines", 0.4, None),
-    "repeats": ("n_repeat_words", "n_words", 0.3, None),
+    "repeats": ("n_repeat_words", "n_words", 0.45, None),
     "upper": ("n_upper", "word_chars", 0.15, None),
     "marks": ("n_marks", "n_words", 0.1, None),
     "word_len": ("word_chars", "n_words", 3.0, 3.0),
