@@ -44,6 +44,8 @@ OVERLAP = 0.8
 SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK = 32
+#: Passages of a text that are bounded at once.
+PASSAGES = 4096
 #: Bounds of one shard of the index.
 SHARD_ITEMS = 50_000
 SHARD_BYTES = 32 << 20
@@ -195,22 +197,25 @@ def find(index: Index, text: str) -> list[tuple[object, float, float, float]]:
     words = words_of(text)
     if not words or not index.items:
         return []
-    ids = np.fromiter(map(index.term.get, words, [-1] * len(words)), np.int64, len(words))
-    known = np.nonzero(ids >= 0)[0]
-    sums = np.zeros((len(known) + 1, len(index.tiers)))
-    np.cumsum(index.most[ids[known]], axis=0, out=sums[1:])
-    starts = np.arange(0, max(1, len(words) - (PASSAGE - STRIDE)), STRIDE)
-    first, last = np.searchsorted(known, starts), np.searchsorted(known, starts + PASSAGE)
     bound = THRESHOLD - 1e-5  # the table is in single precision
     hits: dict[int, float] = {}
     where: dict[int, list[int]] = {}
-    for k in np.nonzero((sums[last] - sums[first] >= bound).any(1))[0].tolist():
-        terms = np.array(sorted(set(ids[known[first[k] : last[k]]].tolist())), np.int64)
-        for tier in np.nonzero(index.most[terms].sum(0) >= bound)[0].tolist():
-            for unit, score in index.tiers[tier].search(terms.tolist()):
-                i = index.unit_item[unit]
-                hits[i] = max(hits.get(i, 0.0), score)
-                where.setdefault(i, []).append(int(starts[k]))
+    every = np.arange(0, max(1, len(words) - (PASSAGE - STRIDE)), STRIDE)
+    for k in range(0, len(every), PASSAGES):  # a very long text a stretch of passages at a time
+        starts = every[k : k + PASSAGES]
+        base, stretch = int(starts[0]), words[int(starts[0]) : int(starts[-1]) + PASSAGE]
+        ids = np.fromiter(map(index.term.get, stretch, [-1] * len(stretch)), np.int64, len(stretch))
+        known = np.nonzero(ids >= 0)[0]
+        sums = np.zeros((len(known) + 1, len(index.tiers)))
+        np.cumsum(index.most[ids[known]], axis=0, out=sums[1:])
+        first, last = np.searchsorted(known, starts - base), np.searchsorted(known, starts - base + PASSAGE)
+        for n in np.nonzero((sums[last] - sums[first] >= bound).any(1))[0].tolist():
+            terms = np.array(sorted(set(ids[known[first[n] : last[n]]].tolist())), np.int64)
+            for tier in np.nonzero(index.most[terms].sum(0) >= bound)[0].tolist():
+                for unit, score in index.tiers[tier].search(terms.tolist()):
+                    i = index.unit_item[unit]
+                    hits[i] = max(hits.get(i, 0.0), score)
+                    where.setdefault(i, []).append(int(starts[n]))
     out = []
     for i, score in sorted(hits.items()):
         item = index.items[i]

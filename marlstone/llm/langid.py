@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import bounded_batches, bounded_sample, fold, map_texts, texts_of
+from marlstone.llm._common import bounded_batches, fold, map_texts, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of what is learnt: documents for each language, words, n-grams of each length.
+#: Bounds of what is learnt: languages, documents for each, words, n-grams of each length.
+MAX_LANGS = 256
 SAMPLE_DOCS = 4000
 MAX_WORDS = 200_000
 MAX_GRAMS = 40_000
@@ -100,15 +101,14 @@ def ngrams(word: str, k: int) -> list[str]:
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn from at most ``SAMPLE_DOCS`` rows of each of ``df``'s languages."""
-    langs = [r[0] for r in df.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(256).collect()]
-    picked = None
-    for lang in langs:
-        ids = bounded_sample(df.where(F.col(lang_col) == lang).select(id_col), SAMPLE_DOCS, id_col)
-        picked = ids if picked is None else picked.unionByName(ids)
-    if picked is None:
+    """Learn from about ``SAMPLE_DOCS`` rows, or all there are, of each of ``df``'s ``MAX_LANGS`` most frequent languages."""
+    langs = df.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
+    if not langs:
         return Model([])
-    known = df.where(F.col(lang_col).isNotNull()).join(F.broadcast(picked.distinct()), id_col, "left_semi")  # bounded: SAMPLE_DOCS ids a language
+    # each language's share of rows is picked by a hash of the id, so one pass does for all
+    share = F.create_map(*[F.lit(x) for r in langs for x in (r[0], min(1.0, SAMPLE_DOCS / r[1]))])
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    known = df.where(place < share[F.col(lang_col)])
     top = word_counts(known, text_col, lang_col).orderBy(F.desc("n"), "word", "lang").limit(MAX_WORDS)
     return Model([tuple(r) for r in top.collect()])
 

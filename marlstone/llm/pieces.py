@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -211,14 +211,14 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, count of each)."""
+        return self.encode_marked([marked(t) if t else b"" for t in texts])
+
+    def encode_marked(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         index: dict[bytes, int] = {}
         used: list[int] = []
-        per_text = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            raw = marked(text)
-            found = _SEGMENT.findall(raw) if self.splits else [raw]
+        per_text = np.zeros(len(raws), np.int64)
+        for i, raw in enumerate(raws):
+            found = _SEGMENT.findall(raw) if self.splits else [raw] if raw else []
             per_text[i] = len(found)
             used += [index.setdefault(s, len(index)) for s in found]
         ids, start, count = self._segmented(list(index))
@@ -229,13 +229,16 @@ class Vocabulary:
         bounds = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(per_text)])]
         return out, np.diff(bounds)
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The texts of ids; the space put before a text is taken away again."""
+    def decode_marked(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         sizes = self.blob_size[ids]
         stops = np.cumsum(sizes)
         raw = self.blob[np.repeat(self.blob_start[ids] - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)].tobytes()
         bounds = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        return [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in (raw[a:b] for a, b in zip(bounds, bounds[1:]))]  # noqa: B905  pairs
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]  # noqa: B905  pairs
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids; the space put before a text is taken away again."""
+        return [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in self.decode_marked(ids, counts)]
 
 
 _SEGMENT = re.compile(rb" *[^ ]+| +")
@@ -267,30 +270,42 @@ def load(tokenizer: str) -> Vocabulary:
     return _LOADED[tokenizer]
 
 
-def _chunks(texts: list[str]) -> Iterable[list[str]]:
-    chunk: list[str] = []
+_CUT = re.compile(rb"(?<=[^ ]) ")
+
+
+def _chunks(texts: list[str], splits: bool) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Marked texts and whose they are, some ``CHUNK_BYTES`` at a time; a longer text in parts, each from a run of spaces on."""
+    owners: list[int] = []
+    raws: list[bytes] = []
     size = 0
-    for t in texts:
-        chunk.append(t)
-        size += len(t)
-        if size >= CHUNK_BYTES:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+    for i, text in enumerate(texts):
+        raw, at = marked(text) if text else b"", 0
+        while at < len(raw):
+            cut = _CUT.search(raw, at + CHUNK_BYTES) if splits and len(raw) - at > CHUNK_BYTES else None
+            stop = cut.start() if cut else len(raw)
+            owners.append(i)
+            raws.append(raw[at:stop])
+            size += stop - at
+            at = stop
+            if size >= CHUNK_BYTES:
+                yield owners, raws
+                owners, raws, size = [], [], 0
+    if raws:
+        yield owners, raws
 
 
 def encoder(tokenizer: str) -> Callable[[list[str]], list]:
     vocabulary = load(tokenizer)
 
     def run(texts: list[str]) -> list:
-        ids, counts, back = [], [], []
-        for chunk in _chunks(texts):
-            i, c = vocabulary.encode(chunk)
-            ids.append(i)
-            counts.append(c)
-            back += [a == b for a, b in zip(vocabulary.decode(i, c), chunk, strict=True)]
-        n = np.concatenate(counts)
+        n = np.zeros(len(texts), np.int64)
+        back = np.array([MARK not in t for t in texts], bool)
+        ids = [np.zeros(0, np.int32)]
+        for owners, raws in _chunks(texts, vocabulary.splits):
+            found, counts = vocabulary.encode_marked(raws)
+            ids.append(found)
+            np.add.at(n, owners, counts)
+            back[[o for o, a, b in zip(owners, vocabulary.decode_marked(found, counts), raws, strict=True) if a != b]] = False
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         return [n, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), back]
 
