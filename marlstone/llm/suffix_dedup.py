@@ -44,7 +44,7 @@ from marlstone.llm._common import bounded_batches, checkpointed, ensure_checkpoi
 
 WIDTH = 400
 GRAM = 32
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 MOST_PARTITIONS = 20_000
 #: Bytes that windows are hashed over at once.
 BUFFER = 1 << 20
@@ -400,7 +400,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # segments that occur once are searched for, among them and those that occur more often
     mixed = known.where("kinds > 1 or (times = 1 and _several)")
     shards = max(1, round((mixed.agg(F.sum(size.cast("long"))).first()[0] or 0) / SHARD_BYTES))
-    blocks = F.ceil(F.col("size") / (2 * SHARD_BYTES)).cast("int")
+    blocks = F.ceil(F.col("size") / SHARD_BYTES).cast("int")
     own = F.when(blocks > 1, F.pmod(F.xxhash64("s1", "s2"), blocks).cast("int")).otherwise(0)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     shard = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
