@@ -395,6 +395,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = checkpointed(distinct)
     size = F.col("one.windows") + (WIDTH - 1)
     buckets = distinct.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.max("several").alias("_several"), F.sum(size.cast("long")).alias("size"))
+    buckets = checkpointed(buckets)  # else the join is tied to the sums' exchange, and a large bucket's rows cannot be split
     known = checkpointed(distinct.join(buckets, F.col("key") == F.col("_key")).drop("_key"))
     whole = known.where("times > 1").select(*name, F.lit(0).alias("a"), F.col("one.windows").alias("b"))
     # segments that occur once are searched for, among them and those that occur more often
