@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,3 +88,9 @@ def predict(df: DataFrame, model: Perceptron, names: list[str], fold: int = 1) -
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     out = df.select("date", "code", *names).mapInArrow(run, f"date {kinds['date']}, code {kinds['code']}, value double")
     return out.select("date", "code", F.lit(fold).alias("fold"), "value")
+
+
+def best_checkpoint(names: list[str]) -> str | None:
+    """The name with the largest val_wei=NUMBER in it; None if none has one."""
+    scored = [(float(m.group(1)), n) for n in names if (m := re.search(r"val_wei=(-?\d+(?:\.\d+)?)", n))]
+    return max(scored)[1] if scored else None

@@ -177,3 +177,8 @@ def test_perceptron_learns_and_predicts(spark):
     df = spark.createDataFrame([(1, i, *map(float, r)) for i, r in enumerate(dates[0][0])], "date int, code int, " + ", ".join(f"{n} double" for n in names))
     out = mlp.predict(df, net, names).orderBy("code").toPandas()
     np.testing.assert_allclose(out.value, net.predict(dates[0][0]))
+
+
+def test_best_checkpoint():
+    assert mlp.best_checkpoint(["a-val_wei=0.2.ckpt", "b-val_wei=0.31.ckpt", "last.ckpt"]) == "b-val_wei=0.31.ckpt"
+    assert mlp.best_checkpoint(["last.ckpt"]) is None

@@ -94,3 +94,14 @@ def test_stream_upsert_is_by_key_and_repeatable(spark, tmp_path):
     table.merge(batch, 0)
     table.merge(spark.createDataFrame([("a", 6), ("c", 1)], "k string, v int"), 1)
     assert sorted(map(tuple, table.read().collect())) == [("a", 6), ("c", 1)]
+
+
+def test_feather_files_base_and_increment(spark, tmp_path):
+    import pandas as pd
+
+    from marlstone.sources.feather import read_factors
+
+    pd.DataFrame({"Date": ["20240102", "20240103"], "000001": [1.0, 2.0], "000002": [None, 4.0]}).to_feather(tmp_path / "mom_5.fea")
+    pd.DataFrame({"Date": ["20240103", "20240104"], "000001": [9.0, 5.0]}).to_feather(tmp_path / "mom_5_incr.fea")
+    got = {(r.factor, r.date, r.code): r.value for r in read_factors(spark, str(tmp_path / "*.fea")).collect()}
+    assert got == {("mom_5", "20240102", "000001"): 1.0, ("mom_5", "20240103", "000001"): 9.0, ("mom_5", "20240103", "000002"): 4.0, ("mom_5", "20240104", "000001"): 5.0}
