@@ -61,6 +61,17 @@ def test_planted_items_are_found_and_clean_texts_left(make_docs, items, clashing
     assert got == {(1, 0), (2, 1), (3, 3), (4, 2), (6, 7), (6, 8)}
 
 
+def test_long_texts_in_stretches(items, draw, monkeypatch):
+    rows = [(r.item_id, r.text) for r in items.collect()]
+    index = D.Index(rows)
+    text = " ".join([sentence(draw, 400), rows[2][1], sentence(draw, 700), rows[3][1], sentence(draw, 90)])
+    whole = D.find(index, text)
+    assert {h[0] for h in whole} == {2, 3}
+    for n in (1, 2, 5):
+        monkeypatch.setattr(D, "PASSAGES", n)
+        assert [h[0] for h in D.find(index, text)] == [h[0] for h in whole]
+
+
 def test_results_equal_brute_force_on_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     (index,) = D.shards(spark.read.parquet(f"{SF}/benchmark.parquet"))

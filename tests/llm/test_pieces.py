@@ -78,6 +78,14 @@ def test_round_trip_and_odd_rows(make_docs, clashing, draw):
     assert pieces.encode(make_docs([])).count() == 0
 
 
+def test_long_texts_in_parts(monkeypatch, draw):
+    texts = [sentence(draw, 300) + "  double  " + sentence(draw, 50), "", "y" * 900 + " z", sentence(draw, 100)]
+    whole = pieces.encoder(MODEL)(texts)
+    monkeypatch.setattr(pieces, "CHUNK_BYTES", 100)
+    parts = pieces.encoder(MODEL)(texts)
+    assert parts[0].tolist() == whole[0].tolist() and parts[1].to_pylist() == whole[1].to_pylist() and all(parts[2])
+
+
 def test_decode_column(spark, make_docs):
     texts = ["hello  there\nworld 😀", "", None, "x"]
     coded = pieces.encode(make_docs(texts))

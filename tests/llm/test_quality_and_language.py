@@ -66,6 +66,19 @@ def test_sketches_merge_and_are_accurate(spark, make_docs):
         assert abs(got - want) <= 0.011 * want
 
 
+def test_rules_equal_their_sql(spark):
+    import duckdb
+
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = con.execute(queries.ORACLES["op3_quality_rules"]).fetchdf().sort_values("doc_id").reset_index(drop=True)
+    got = queries.QUERIES["op3_quality_rules"](spark, small).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns)
+    for c in got.columns:
+        assert got[c].astype(str).tolist() == want[c].astype(str).tolist(), c
+
+
 def test_salted_fences_equal_broadcast(make_docs, draw, monkeypatch):
     df = make_docs([sentence(draw, 60) for _ in range(60)])
     a = sorted(map(tuple, quality_rules.quality_rules(df).collect()))
