@@ -16,8 +16,8 @@ Suffix arrays. A shard's suffixes are sorted by their first eight bytes, and
 groups of equal ones refined by Larsson-Sadakane doubling in numpy, until they
 are single or sorted to a window's width. Kasai's pass gives the common prefix of each
 window with the one sorted before it: all segments step by step together, each
-step keeping what the last one found, less one. A window is repeated if it
-shares its width with a neighbour.
+step keeping what the last one found, less one, if the successors of the two
+are sorted alike. A window is repeated if it shares its width with a neighbour.
 
 Buckets larger than a shard are split into blocks. Each block has its own
 suffix array, and blocks are merged in pairs by binary search of one block's
@@ -214,8 +214,11 @@ class SuffixArray:
             return out
         before = np.full(self.n, -1, np.int64)
         before[w[1:]] = w[:-1]
+        place = np.full(self.n, self.n, np.int64)
+        place[w] = np.arange(len(w))
         common = np.zeros(self.n, np.int64)
-        # Kasai's pass, all stretches of windows in step; a carried length holds only if the earlier neighbour's successor is a window too
+        # Kasai's pass, all stretches of windows in step; a carried length holds only if the earlier neighbour's successor is a window too,
+        # and is sorted before this one's: where two tie on all that is sorted by, it need not be
         starts, counts = _stretches(self.starts, self.ends - self.starts - WIDTH + 1)
         carry = np.zeros(len(starts), np.int64)
         for t in range(int(counts[0])):
@@ -234,7 +237,8 @@ class SuffixArray:
                 rows = rows[found[rows] < WIDTH]
             found = np.minimum(found, WIDTH)
             common[i] = found
-            follow = (j >= 0) & self.valid[np.minimum(np.maximum(j, 0) + 1, self.n - 1)]
+            after = np.minimum(np.maximum(j, 0) + 1, self.n - 1)
+            follow = (j >= 0) & self.valid[after] & (place[after] < place[np.minimum(i + 1, self.n - 1)])
             carry[:live] = np.where(follow, np.maximum(found - 1, 0), 0)
         same = common[w[1:]] >= WIDTH
         out[w[1:][same]] = True

@@ -89,6 +89,22 @@ def test_suffix_array_order_and_common_prefixes(monkeypatch):
     assert all(found[p] == (w in theirs) for p, w in zip(array.windows.tolist(), windows, strict=True))
 
 
+def test_windows_beside_long_ties_are_not_repeated():
+    draw = random.Random(11)
+    some = lambda n: bytes(draw.choice(b"ab") for _ in range(n))
+    parts = []
+    for n in range(513, 768, 3):  # each pair shares more than what suffixes are sorted by, and differs before and after
+        shared = some(n)
+        parts += [b"a" + some(20) + b"c" + shared + b"d" + some(60), b"b" + some(20) + b"e" + shared + b"a" + some(60)]
+        parts += [shared[k : k + 300] + b"c" + some(150) for k in (1, 40, 110)]
+    array = S.SuffixArray(parts)
+    text = b"".join(parts)
+    windows = [text[p : p + S.WIDTH] for p in array.windows.tolist()]
+    counts = collections.Counter(windows)
+    repeated = array.repeated()
+    assert all(repeated[p] == (counts[w] > 1) for p, w in zip(array.windows.tolist(), windows, strict=True))
+
+
 def test_equal_windows_share_a_bucket():
     draw = random.Random(8)
     raw = bytes(draw.choice(b"abc ") for _ in range(3000))
