@@ -5,8 +5,8 @@ candidate string is a maximal run of characters that keys are written in. A
 window slides over it; its entropy is kept up by incremental counts, one
 character in and one out, and compared with the limit of the window's
 character class. Windows over the limit are merged into spans of kind
-``entropy``, unless the allow-list covers the candidate or a known format
-already does.
+``entropy``, unless the allow-list covers the candidate or known formats
+already cover the whole span.
 
 Null texts read as empty and have no spans; long texts are scanned whole.
 """
@@ -94,6 +94,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def covered(start: int, stop: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Is every character from ``start`` to ``stop`` in one of ``spans``?"""
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= stop
+
+
 def scan(text: str, allow: Iterable[re.Pattern] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and the spans that entropy adds; both by start, then kind."""
     base = base_spans(text)
@@ -104,7 +113,7 @@ def scan(text: str, allow: Iterable[re.Pattern] | None = None) -> tuple[list[tup
             continue
         for s, e in entropy_spans(m.group()):
             s, e = s + m.start(), e + m.start()
-            if not any(a < e and s < b for _, a, b in base):
+            if not covered(s, e, base):
                 added.append(("entropy", s, e))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(added, key=order)

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 
 import pytest
 from llm_helpers import ODD, sentence
@@ -86,6 +88,24 @@ def test_entropy_finds_keys_and_allows_plain_words():
         assert secret_scan.scan(plain)[1] == [], plain
 
 
+def test_tokens_joined_to_known_formats_are_found():
+    draw = random.Random(3)
+    for mark in "-/":
+        for _ in range(100):
+            known = "".join(draw.choice("0123456789abcdef") for _ in range(32))
+            token = "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(40))
+            text = f"see {known}{mark}{token} there"
+            base, more = secret_scan.scan(text)
+            if not secret_scan.scan(f"see {token} there")[1]:
+                continue
+            assert more, text
+            start, stop = secret_scan.scan(f"see {token} there")[1][0][1:]
+            gone = {k for _, s, e in base + more for k in range(s, e)}
+            assert set(range(start + 33, stop + 33)) <= gone, text
+            assert token not in secret_scan.redact(text)
+    assert secret_scan.scan("token=wJalrXUtnFEMI7MDENGbPxRfiCYEXAMPLEKEY12")[1] == []
+
+
 def test_incremental_entropy_equals_direct():
     text = "aB3dE5gH7jK9mN1pQ2sT4vW6xY8zaB3dE5gH7"
     window = secret_scan.WINDOW
