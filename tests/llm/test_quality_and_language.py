@@ -101,6 +101,22 @@ def test_language_backs_off_and_marks_undecided(make_docs, clashing):
     assert langid.train(make_docs(["a"], langs=[None])).langs == []
 
 
+def test_small_and_many_languages_keep_their_words(make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_WORDS", 20)
+    large = " ".join(f"big{chr(97 + i % 26)}{chr(97 + i // 26)} " * 3 for i in range(60))
+    train = make_docs([large] * 3 + ["quokka wallaby numbat"], langs=["aa"] * 3 + ["zz"])
+    model = langid.train(train)
+    assert model.langs == ["aa", "zz"]
+    got = [r.lang_pred for r in langid.identify(make_docs(["quokka numbat", "wallabies"]), model).orderBy("doc_id").collect()]
+    assert got == ["zz", "zz"]
+    code = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    many = make_docs([f"{code(i) * 4} {code(i) * 3}" for i in range(300)], langs=[f"l{i:03}" for i in range(300)])
+    assert len(langid.train(many).langs) == 300
+    monkeypatch.setattr(langid, "DENSE", 0)
+    sparse = langid.train(train)
+    assert all((sparse.word(w) == model.word(w)).all() for w in ("quokka", "wallabies", "bigaa"))
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     out = queries.QUERIES["op4_language_id"](spark, SF).join(docs, "doc_id").toPandas()
