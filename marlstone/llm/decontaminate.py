@@ -14,7 +14,9 @@ A hit is then verified against the words around the passage: of the item's
 question and of its answer (the last sentence, or the last half of a single
 one), ``OVERLAP`` of the five-word shingles must occur.
 
-Items of fewer than five words, empty and null ones are not searched for. Null
+Items of two to four words are found where all of their words stand side by
+side, with a score of one. In scripts without spaces each character is a word.
+Items of one word have no answer; they, empty and null ones are not searched for. Null
 and empty texts have no hits. Items with the same text are all reported. The
 index is sent to workers in shards of bounded rows and bytes; frequencies are
 those of the shard.
@@ -34,7 +36,10 @@ from pyspark.sql import functions as F
 
 from marlstone.llm._common import map_texts, text_column
 
-WORD = re.compile(r"\w+")
+#: Scripts that are written without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+#: A run of letters, digits and underscores, but each character of an unspaced script is a word of its own.
+WORD = re.compile(rf"[^\W{UNSPACED}]+|\w")
 UNIT = 64
 PASSAGE = 2 * UNIT
 STRIDE = UNIT
@@ -161,10 +166,13 @@ class Index:
     def __init__(self, items: list[tuple[object, str]]) -> None:
         self.items: list[Item] = []
         self.unit_item: list[int] = []
+        self.short: dict[tuple[str, ...], list[object]] = {}
         counts: list[Counter] = []
         for item_id, text in items:
             words = words_of(text or "")
             if len(words) < SHINGLE:
+                if len(words) > 1:
+                    self.short.setdefault(tuple(words), []).append(item_id)
                 continue
             n = math.ceil(len(words) / UNIT)
             for k in range(n):
@@ -192,11 +200,20 @@ class Index:
         self.most = np.stack([t.most for t in self.tiers], 1) if self.tiers else np.zeros((1, 0), np.float32)
 
 
+def find_short(index: Index, words: list[str]) -> list[tuple[object, float, float, float]]:
+    """The items of fewer than ``SHINGLE`` words whose words, question and then answer, stand side by side."""
+    found: set[tuple[str, ...]] = set()
+    for k in sorted({len(x) for x in index.short}):
+        found.update(x for x in zip(*[words[i:] for i in range(k)]) if x in index.short)  # noqa: B905  cut to the shortest
+    return [(item_id, 1.0, 1.0, 1.0) for x in sorted(found) for item_id in index.short[x]]
+
+
 def find(index: Index, text: str) -> list[tuple[object, float, float, float]]:
     """(item_id, score, question's overlap, answer's overlap) of every verified item, each once."""
     words = words_of(text)
+    short = find_short(index, words) if index.short else []
     if not words or not index.items:
-        return []
+        return short
     bound = THRESHOLD - 1e-5  # the table is in single precision
     hits: dict[int, float] = {}
     where: dict[int, list[int]] = {}
@@ -216,7 +233,7 @@ def find(index: Index, text: str) -> list[tuple[object, float, float, float]]:
                     i = index.unit_item[unit]
                     hits[i] = max(hits.get(i, 0.0), score)
                     where.setdefault(i, []).append(int(starts[n]))
-    out = []
+    out = short
     for i, score in sorted(hits.items()):
         item = index.items[i]
         q, a = max((item.overlap(words[max(0, at - item.size) : at + PASSAGE + item.size]) for at in where[i]), key=min)

@@ -61,6 +61,17 @@ def test_planted_items_are_found_and_clean_texts_left(make_docs, items, clashing
     assert got == {(1, 0), (2, 1), (3, 3), (4, 2), (6, 7), (6, 8)}
 
 
+def test_short_and_unspaced_items_are_found(spark, make_docs, draw):
+    short, unspaced = "What is two? Two.", "日本の首都はどこですか。東京です。"
+    items = spark.createDataFrame([(1, short), (2, unspaced), (3, "日本。東京。"), (4, "One word more than four.")], "item_id long, text string")
+    around = [sentence(draw, 90), sentence(draw, 70)]
+    docs = make_docs([f"{around[0]} {short} {around[1]}", f"{around[0]} {unspaced} {around[1]}", "what is TWO, two", "What is two or two", "two what is two", "昔の日本、東京の話", *around])
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()}
+    assert got == {(0, 1), (1, 2), (2, 1), (5, 3)}
+    assert {r.doc_id for r in D.clean(docs, items).collect()} == {3, 4, 6, 7}
+    assert [h[0] for h in D.find(D.Index([(1, short)]), f"x {short} y")] == [1]
+
+
 def test_long_texts_in_stretches(items, draw, monkeypatch):
     rows = [(r.item_id, r.text) for r in items.collect()]
     index = D.Index(rows)
