@@ -3,11 +3,19 @@
 The automaton is built over the pieces' bytes, with the space mark as one byte.
 At each position its state names the longest piece that ends there, and output
 links lead on to the shorter ones; each relaxes the best score of the
-position from that of the piece's start. Characters that are no piece get the
-score of an unknown one and become byte pieces. Ties go to the longer last
-piece. The score of a piece is that of the model file, so on a BPE vocabulary
-the result is the best-scoring segmentation, which need not be the one
-that merging finds; it decodes to the same text.
+position from that of the piece's start. Characters that are no piece become
+byte pieces.
+
+What a path scores depends on the model's kind. Of a unigram model a piece has
+the score of the model file, and unknown characters one below all of them; ties
+go to the longer last piece. Of a BPE model the file's scores are the order of
+merging and no log-probabilities, so adding them up would give another
+segmentation. There a piece costs nothing after a piece that merging would
+leave beside it, and is barred after any other. Every prefix of a text has
+one end piece that merging gives it, and a path is what merging gives if and
+only if each two neighbours are, so just one path to each position is open, and
+it is the library's own encoding. Whether merging leaves two pieces alone is
+worked out by merging their characters, once a pair.
 
 Where no piece has a space mark after another character, as in the usual
 vocabularies, a boundary lies before every run of spaces, so texts are cut
@@ -15,11 +23,15 @@ there and each distinct segment is segmented once per batch, all segments in
 lock step in numpy. Long segments go through the same automaton one by one.
 
 Null and empty texts have no pieces. A text that holds the space mark itself
-decodes to one with spaces, as in the library. Texts are encoded whole.
+decodes to one with spaces, as in the library. Texts of any length are encoded
+whole, some ``CHUNK_BYTES`` at a time. Rows are independent, so repeated rows and
+ids give repeated results, an empty table an empty one, and columns of any other
+name are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -36,13 +48,51 @@ MARK = "▁"
 LONG = 64
 CHUNK_BYTES = 4 << 20
 CELLS = 4 << 20
+#: Pairs of pieces remembered, some 100 bytes each.
+MOST_PAIRS = 1 << 19
 _LOADED: dict[str, Vocabulary] = {}
 
 
+class _Pairs(dict):
+    """By left * size + right: 0 if merging the two pieces' characters ends with these two, else minus infinity.
+
+    A left piece of -1 is the start of a text or an unknown character, across which nothing merges.
+    """
+
+    def __init__(self, bytes_of: list[bytes], order: dict[bytes, float]) -> None:
+        self.bytes_of, self.order, self.size = bytes_of, order, len(bytes_of)
+
+    def __missing__(self, key: int) -> float:
+        if len(self) >= MOST_PAIRS:
+            self.clear()
+        left, right = divmod(key, self.size)
+        want = [self.bytes_of[i] for i in (left, right) if i >= 0]
+        self[key] = x = 0.0 if merge(b"".join(want), self.order) == want else -math.inf
+        return x
+
+    def between(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) * self.size + right
+        return np.fromiter(map(self.__getitem__, keys.tolist()), float, len(keys))
+
+
+def merge(text: bytes, order: dict[bytes, float]) -> list[bytes]:
+    """The text's characters with the two neighbours joined, again and again, whose union comes first in order; the leftmost of equals."""
+    parts = [c.encode() for c in text.decode()]
+    while True:
+        found = [(order[x], -i) for i, x in enumerate(map(bytes.__add__, parts, parts[1:])) if x in order]
+        if not found:
+            return parts
+        i = -max(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 class Vocabulary:
-    """Pieces, scores and the automaton. ``pieces``: (text, score, kind) by id; kind: normal, byte, unknown or control."""
+    """Pieces, scores and the automaton. ``pieces``: (text, score, kind) by id; kind: normal, byte, unknown or control.
+
+    merging: the scores are an order of merging, as in BPE models, the highest first.
+    """
 
-    def __init__(self, pieces: Iterable[tuple[str, float, str]]) -> None:
+    def __init__(self, pieces: Iterable[tuple[str, float, str]], merging: bool = False) -> None:
         listed = list(pieces)
         self.bytes_of = [b"" for _ in listed]
         self.byte_id = np.full(256, -1, np.int32)
@@ -61,9 +111,11 @@ class Vocabulary:
                 normal.setdefault(self.bytes_of[i], i)
         self.byte_id[self.byte_id < 0] = self.unknown
         self.splits = not any(b" " in p.lstrip(b" ") for p in normal)
+        self.merging = merging
+        self.pairs = _Pairs(self.bytes_of, {x: listed[i][1] for x, i in normal.items()})
         scores = [listed[i][1] for i in normal.values()]
-        self.unknown_score = min(scores, default=0.0) - 10
-        self._build(normal, [s for _, s, _ in listed])
+        self.unknown_score = 0.0 if merging else min(scores, default=0.0) - 10
+        self._build(normal, [0.0 if merging else s for _, s, _ in listed])
         sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(listed))
         self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.blob_size = sizes
@@ -110,7 +162,7 @@ class Vocabulary:
         """One segment, position by position."""
         n = len(segment)
         best = [0.0] + [-np.inf] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        back: list[tuple[int, int]] = [(-1, 0)] * (n + 1)
         state, char = 0, 0
         for t, b in enumerate(segment):
             state = int(self.step[state, b])
@@ -118,10 +170,12 @@ class Vocabulary:
                 char = t
             out, known = int(self.output[state]), False
             while out:
-                size = int(self.size[out])
+                size, piece = int(self.size[out]), int(self.piece[out])
                 x = best[t + 1 - size] + self.score[out]
+                if self.merging and x > best[t + 1]:
+                    x += self.pairs[back[t + 1 - size][0] * self.pairs.size + piece]
                 if x > best[t + 1]:
-                    best[t + 1], back[t + 1] = x, (int(self.piece[out]), size)
+                    best[t + 1], back[t + 1] = x, (piece, size)
                 known |= t + 1 - size == char
                 out = int(self.link[out])
             if not known and (t + 1 == n or segment[t + 1] & 0xC0 != 0x80):
@@ -157,6 +211,9 @@ class Vocabulary:
             while len(rows):
                 size = self.size[out]
                 x = best[rows, t + 1 - size] + self.score[out]
+                if self.merging:
+                    open_ = np.nonzero(x > best[rows, t + 1])[0]
+                    x[open_] += self.pairs.between(piece[rows[open_], t + 1 - size[open_]], self.piece[out[open_]])
                 up = x > best[rows, t + 1]
                 to = rows[up]
                 best[to, t + 1], piece[to, t + 1], back[to, t + 1] = x[up], self.piece[out[up]], size[up]
@@ -258,6 +315,16 @@ def model_pieces(path: str) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
+def is_merging(path: str) -> bool:
+    """Is the model file one of BPE?"""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type == model.trainer_spec.BPE
+
+
 def load(tokenizer: str) -> Vocabulary:
     """The vocabulary of a public file's name or a path, kept for the life of a worker."""
     if tokenizer not in _LOADED:
@@ -266,7 +333,7 @@ def load(tokenizer: str) -> Vocabulary:
             import public_tokenizers
 
             path = str(public_tokenizers.path(tokenizer))
-        _LOADED[tokenizer] = Vocabulary(model_pieces(path))
+        _LOADED[tokenizer] = Vocabulary(model_pieces(path), is_merging(path))
     return _LOADED[tokenizer]
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from llm_helpers import ODD, sentence
 
 from marlstone.llm import pieces, queries
@@ -32,6 +33,17 @@ def brute(vocabulary, segment):
     return out, best[n]
 
 
+def unigram():
+    """The same pieces, their file's scores taken as a unigram model's."""
+    return pieces.Vocabulary(pieces.model_pieces(_path()))
+
+
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=_path())
+
+
 def _path():
     import public_tokenizers
 
@@ -39,7 +51,7 @@ def _path():
 
 
 def test_viterbi_equals_brute_force(draw):
-    v = pieces.load(MODEL)
+    v = unigram()
     texts = [t or "" for t in ODD if not t or len(t) < 100] + [sentence(draw, 30), "naïve café 東京 \n x  y   z", "unthinkable preprocessing"]
     for t in texts:
         for s in pieces._SEGMENT.findall(pieces.marked(t)) if t else []:
@@ -47,8 +59,9 @@ def test_viterbi_equals_brute_force(draw):
             assert v._segmented([s])[0].tolist() == brute(v, s)[0], s
 
 
-def test_lockstep_equals_single(draw):
-    v = pieces.load(MODEL)
+@pytest.mark.parametrize("make", [unigram, lambda: pieces.load(MODEL)])
+def test_lockstep_equals_single(draw, make):
+    v = make()
     segments = list({s for _ in range(50) for s in pieces._SEGMENT.findall(pieces.marked(sentence(draw, 40) + " é東 ☃"))})
     ids, start, count = v._segmented(segments)
     for s, a, k in zip(segments, start.tolist(), count.tolist(), strict=True):
@@ -63,7 +76,7 @@ def test_equals_the_library_on_the_same_scores():
     m.ParseFromString(open(_path(), "rb").read())
     m.trainer_spec.model_type = 1  # its own lattice over the same pieces; a single best takes another route
     library = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
-    v = pieces.load(MODEL)
+    v = unigram()
     for w in "the unthinkable preprocessing of international running shoes thentionable".split():
         assert v.encode([w])[0].tolist() == library.nbest_encode_as_ids(w, 4)[0]
 
@@ -100,6 +113,29 @@ def test_vocabulary_with_marks_inside_is_not_split():
     assert counts.tolist() == [3] and ids.tolist() == [3, 2, 4]
 
 
-def test_query(spark):
-    out = queries.QUERIES["op2_sentencepiece"](spark, "/root/testdata/sf0.001")
-    assert out.count() == 200 and out.where("not round_trip").count() == 0
+def test_merging_equals_the_library(draw):
+    odd = [t or "" for t in ODD] + ["aaaaaaaaaaaaa abababababab " * 9, "xyz" * 400, "é日é日" * 90, "a  b   c    d", "🙂🙂 naïve ☃☃", "\x1f\x85"]
+    noise = ["".join(draw.choice("abcehinorst  \n.ü東☃") for _ in range(draw.randrange(1, 120))) for _ in range(300)]
+    _, ids, _ = pieces.encoder(MODEL)(odd + noise)
+    assert ids.to_pylist() == library().encode(odd + noise)
+
+
+def test_merging_and_cleared_pairs(monkeypatch, draw):
+    monkeypatch.setattr(pieces, "MOST_PAIRS", 5)
+    texts = [sentence(draw, 30)]
+    v = pieces.Vocabulary(pieces.model_pieces(_path()), True)
+    assert v.encode(texts)[0].tolist() == library().encode(texts)[0]
+
+
+def test_repeated_rows_and_ids(make_docs):
+    out = pieces.encode(make_docs(["one two"] * 3 + [None], ids=[4, 4, None, None])).collect()
+    assert sorted(len(r.ids) for r in out)[0] == 0 and len(out) == 4 and len({tuple(r.ids) for r in out}) == 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_the_library_on_the_table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").toPandas()
+    got = {r.doc_id: r for r in queries.QUERIES["op2_sentencepiece"](spark, f"/root/testdata/{sf}").collect()}
+    assert len(got) == len(docs)
+    for i, ids in zip(docs.doc_id, library().encode(docs.text.tolist()), strict=True):
+        assert list(got[i].ids) == ids and got[i].n_pieces == len(ids) and got[i].round_trip
