@@ -10,8 +10,10 @@ its counts in all languages, so no language loses its own to a larger one's;
 the tables that are sent to every worker are bounded by language.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every
-text if there is nothing to learn from. Ties go to the first language in
-alphabetical order. Long texts are read whole.
+text if there is nothing to learn from, as with an empty table. Ties go to the
+first language in alphabetical order. Very long texts are read whole, stretch
+by stretch. Repeated rows get the same result, and count as often as they occur
+where they are learnt from. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm import longtext
 from marlstone.llm._common import bounded_batches, checkpointed, fold, map_texts, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +56,7 @@ def word_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         for batch in batches:
             counts: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(texts_of(batch, 0), batch.column(1).to_pylist(), strict=True):
-                counts[lang].update(words_of(text))
+                counts[lang].update(longtext.counted(text, words_of))
             for lang, c in counts.items():
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(c.keys(), pa.string()), "n": pa.array(c.values(), pa.int64())})
 
@@ -175,23 +178,30 @@ def predictor(model: Model) -> Callable[[list[str]], list]:
     index = Ids()
 
     def run(texts: list[str]) -> list:
-        if len(index) > CACHE:
-            index.clear()
-            rows.clear()
         langs: list[str] = []
         scores: list[float] = []
         for text in texts:
-            words = words_of(text)
-            if not model.langs or not any(map(str.isalpha, "".join(words))):
+            total, n, letters = np.zeros(len(model.langs)), 0, False
+            for part in longtext.stretches(text):
+                if len(index) > CACHE:
+                    index.clear()
+                    rows.clear()
+                words = words_of(part)
+                if not words or not model.langs:
+                    continue
+                letters = letters or any(map(str.isalpha, "".join(words)))
+                ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                if len(ids) > 64:
+                    uniq, times = np.unique(ids, return_counts=True)
+                else:
+                    uniq, times = ids, np.ones(len(ids))
+                total += times @ np.array([rows[i] for i in uniq.tolist()])
+                n += len(words)
+            if not letters:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            if len(ids) > 64:
-                uniq, n = np.unique(ids, return_counts=True)
-            else:
-                uniq, n = ids, np.ones(len(ids))
-            mean = n @ np.array([rows[i] for i in uniq.tolist()]) / len(ids)
+            mean = total / n
             p = np.exp(WEIGHT * (mean - mean.max()))
             best = int(mean.argmax())
             langs.append(model.langs[best])
@@ -209,5 +219,3 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def held_out():
     return fold("doc_id", 4) == 2
-
-

@@ -18,11 +18,11 @@ def quality_rules_sql() -> str:
     def fences(name: str, keys: list[str]) -> str:
         k = ", ".join([*keys, "ratio"])
         cols = []
-        for r, (_, _, above, below) in Q.RATIOS.items():
+        for r, (_, _, _, below) in Q.RATIOS.items():
             spread = f"{Q.SPREADS} * (q1 - q0)"
-            cols.append(f"max(CASE WHEN ratio = '{r}' THEN q1 + greatest({above}, {spread}) END) AS {r}_hi")
-            if below is not None:
-                cols.append(f"max(CASE WHEN ratio = '{r}' THEN q1 - greatest({below}, {spread}) END) AS {r}_lo")
+            cols.append(f"max(CASE WHEN ratio = '{r}' THEN q1 + {spread} END) AS {r}_hi")
+            if below:
+                cols.append(f"max(CASE WHEN ratio = '{r}' THEN q1 - {spread} END) AS {r}_lo")
         group = f"GROUP BY {', '.join(keys)}" if keys else ""
         lead = "".join(f"{x}, " for x in keys)
         return (
@@ -34,10 +34,11 @@ def quality_rules_sql() -> str:
 
     limit = lambda c: f"CASE WHEN own.docs >= {Q.MIN_GROUP} THEN own.{c} WHEN by_lang.docs >= {Q.MIN_GROUP} THEN by_lang.{c} ELSE by_all.{c} END"
     failed = []
-    for r, (_, _, _, below) in Q.RATIOS.items():
-        bad = f"{ratio[r]} > {limit(f'{r}_hi')}"
-        if below is not None:
-            bad = f"({bad} OR {ratio[r]} < {limit(f'{r}_lo')})"
+    for r, (a, b, unit, below) in Q.RATIOS.items():
+        error = f"{Q.ERRORS} * sqrt({a} * {unit})"
+        bad = f"({a} - {error}) / nullif({b}, 0) > {limit(f'{r}_hi')}"
+        if below:
+            bad = f"({bad} OR ({a} + {error}) / nullif({b}, 0) < {limit(f'{r}_lo')})"
         failed.append(f"CASE WHEN {bad} THEN '{r}' END")
     base = ", ".join(["doc_id", *Q.COUNTS, "base_failed"])
     return f"""

@@ -4,15 +4,24 @@ Each document gets counts over its whole text. Ratios of these counts are
 sketched per (language, source): a sketch is the number of documents in each
 logarithmic bucket of a ratio, so sketches merge by adding counts, any
 quantile has a relative error of at most ``ACCURACY``, and the result does not
-depend on the order of merging. The fence of a group is its median plus a
-multiple of the distance between median and first decile, and a least slack
-besides. Taken from the lower half, it holds up to half of a group being
-junk. Groups with few documents take their language's fence, and that in turn
-the one of all documents. Documents are then joined with their group's fences.
-
-Null texts read as empty and fail the base rule. Null languages or sources
-form groups of their own. Repeated rows count as often as they occur. Extra
-columns are not read.
+depend on the order of merging. The fence of a group is its median plus
+``SPREADS`` times the distance between first decile and median; no ratio has a
+cutoff of its own. Taken from the lower half, it holds up to half of a group
+being junk. Groups with few documents take their language's fence, and that in
+turn the one of all documents. Documents are then joined with their group's
+fences.
+
+A document fails a rule if its ratio is beyond the fence by more than chance
+explains: its count is taken ``ERRORS`` standard errors towards the fence first,
+counts being those of single events, so that one repeated line among three is
+no evidence, and twenty among sixty are. A repeated run of three words marks
+six words at least, which are one event.
+
+Null and empty texts have no words and fail the base rule. Very long texts are
+read whole, their words as 64-bit hashes. Null languages or sources form groups
+of their own. A ratio that equals its fence passes. Repeated rows count as often
+as they occur, and each gets a result. An empty table gives an empty one. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm import longtext
 from marlstone.llm._common import checkpointed, map_texts
 
 SYMBOLS = "#*$%&|<>"
@@ -35,14 +45,16 @@ SPREADS = 4.0
 #: Up to this many groups the fences are broadcast; beyond, they are joined by salted shuffle.
 BROADCAST_GROUPS = 20_000
 SALTS = 32
-#: Ratio: numerator, denominator, least slack above the median, least slack below (None: no lower fence).
+#: Standard errors by which a document's count must be beyond its group's fence.
+ERRORS = 4.0
+#: Ratio: numerator, denominator, the numerator's units in one event, is there a lower fence too.
 RATIOS = {
-    "symbols": ("n_symbols", "n_words", 0.05, None),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.4, None),
-    "repeats": ("n_repeat_words", "n_words", 0.45, None),
-    "upper": ("n_upper", "word_chars", 0.15, None),
-    "marks": ("n_marks", "n_words", 0.1, None),
-    "word_len": ("word_chars", "n_words", 3.0, 3.0),
+    "symbols": ("n_symbols", "n_words", 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, False),
+    "repeats": ("n_repeat_words", "n_words", 6, False),
+    "upper": ("n_upper", "word_chars", 1, False),
+    "marks": ("n_marks", "n_words", 1, False),
+    "word_len": ("word_chars", "n_words", 1, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 _SPACES = str.maketrans("", "", " \t\n\v\f\r")
@@ -50,23 +62,43 @@ _SPACES = str.maketrans("", "", " \t\n\v\f\r")
 
 def text_counts(text: str) -> tuple[int, ...]:
     """The counts of ``COUNTS`` for one text."""
+    if len(text) > longtext.LONG:
+        return _long_counts(text)
     words = text.encode("utf-8", "surrogatepass").split()  # of bytes: at exactly the six ASCII white spaces
     n = len(words)
-    chars = len(text.translate(_SPACES))
-    symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x.translate(_SPACES)]
     repeated = 0
     if n >= 3:
         windows = list(zip(words, words[1:], words[2:]))
         if len(set(windows)) < n - 2:
             seen = Counter(windows)
-            marked = np.zeros(n, bool)
-            starts = np.fromiter((seen[w] > 1 for w in windows), bool, n - 2)
-            for k in range(3):
-                marked[k : n - 2 + k] |= starts
-            repeated = int(marked.sum())
-    upper = 0 if text.islower() else len(text) - len(text.translate(_UPPER)) if text.isascii() else sum(map(str.isupper, text))
-    return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, text.count("!") + text.count("?")
+            repeated = _marked(np.fromiter((seen[w] > 1 for w in windows), bool, n - 2))
+    return n, len(text.translate(_SPACES)), _symbols(text), len(lines) - len(set(lines)), repeated, len(lines), _uppers(text), text.count("!") + text.count("?")
+
+
+def _long_counts(text: str) -> tuple[int, ...]:
+    """The same, stretch by stretch."""
+    words, lines = longtext.word_hashes(text), longtext.line_hashes(text)
+    chars = sum(len(x.translate(_SPACES)) for x in longtext.stretches(text))
+    upper = sum(map(_uppers, longtext.stretches(text)))
+    repeated = _marked(longtext.several(longtext.triples(words)))
+    return len(words), chars, _symbols(text), len(lines) - longtext.distinct(lines), repeated, len(lines), upper, text.count("!") + text.count("?")
+
+
+def _symbols(text: str) -> int:
+    return sum(map(text.count, SYMBOLS))
+
+
+def _uppers(text: str) -> int:
+    return 0 if text.islower() else len(text) - len(text.translate(_UPPER)) if text.isascii() else sum(map(str.isupper, text))
+
+
+def _marked(starts: np.ndarray) -> int:
+    """Words in any of the windows of three words that start where ``starts`` is true."""
+    marked = np.zeros(len(starts) + 2, bool)
+    for k in range(3):
+        marked[k : len(starts) + k] |= starts
+    return int(marked.sum())
 
 
 _UPPER = str.maketrans("", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -117,16 +149,16 @@ def fences(sketch: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     spread = SPREADS * (F.col("q1") - F.col("q0"))
     of = lambda k, x: F.max(F.when(F.col("ratio") == k, x))
     out = [F.max("docs").alias("docs")]
-    for k, (_, _, above, below) in RATIOS.items():
-        out.append(of(k, F.col("q1") + F.greatest(F.lit(above), spread)).alias(f"{k}_hi"))
-        if below is not None:
-            out.append(of(k, F.col("q1") - F.greatest(F.lit(below), spread)).alias(f"{k}_lo"))
+    for k, (_, _, _, below) in RATIOS.items():
+        out.append(of(k, F.col("q1") + spread).alias(f"{k}_hi"))
+        if below:
+            out.append(of(k, F.col("q1") - spread).alias(f"{k}_lo"))
     return q.groupBy(*groups).agg(*out)
 
 
 def group_fences(groups: DataFrame, sketch: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     """Fences of every (language, source) of ``groups``, small ones and those without a sketch backed off."""
-    limits = [f"{k}_{side}" for k, r in RATIOS.items() for side in ("hi", "lo") if side == "hi" or r[3] is not None]
+    limits = [f"{k}_{side}" for k, r in RATIOS.items() for side in ("hi", "lo") if side == "hi" or r[3]]
     own = fences(sketch, (lang_col, source_col)).withColumnsRenamed({lang_col: "_own_lang", source_col: "_own_source"})
     same = F.col(lang_col).eqNullSafe(F.col("_own_lang")) & F.col(source_col).eqNullSafe(F.col("_own_source"))
     own = groups.select(lang_col, source_col).distinct().join(own, same, "left")
@@ -148,11 +180,11 @@ def apply_fences(features: DataFrame, limits: DataFrame, lang_col: str = "lang",
         salted = features.withColumn("_salt", F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(SALTS)).cast("int"))
         joined = salted.join(spread, same & (F.col("_salt") == F.col("f_salt")), "left")
     failed = []
-    for k, (a, b, _, below) in RATIOS.items():
-        x = F.try_divide(F.col(a), F.col(b))
-        bad = x > F.col(f"{k}_hi")
-        if below is not None:
-            bad = bad | (x < F.col(f"{k}_lo"))
+    for k, (a, b, unit, below) in RATIOS.items():
+        error = ERRORS * F.sqrt(F.col(a) * unit)
+        bad = F.try_divide(F.col(a) - error, F.col(b)) > F.col(f"{k}_hi")
+        if below:
+            bad = bad | (F.try_divide(F.col(a) + error, F.col(b)) < F.col(f"{k}_lo"))
         failed.append(F.when(bad, F.lit(k)))
     return (
         joined.withColumn("base_failed", base_failed())

@@ -9,9 +9,15 @@ are mapped to (0, 1) so that the cut lies at ``CUT``, by a logistic function
 with the spread of the training scores.
 
 Training takes at most ``SAMPLE_ROWS`` labelled rows, picked by a hash of their
-id; null labels and rows without text do not count, and of a document's
-repeated labels the mean is rounded. Without rows of both labels every score is
-``CUT``. Null texts read as empty; empty texts are scored like any other.
+id; null ids, null labels and rows without text do not count, of a document's
+repeated labels the mean is rounded, and of rows that share an id the first
+text in order counts, once. So the same tables give the same weights, in
+whatever order their rows come. Without rows of both labels, as with empty
+tables, every score is ``CUT``.
+
+Null texts read as empty; empty texts are scored like any other. Very long texts
+are read whole, their words as 64-bit hashes. A score at the cut passes.
+Repeated rows get the same score. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import longtext
 from marlstone.llm._common import bounded_sample, fold, map_texts, text_column
 
 SAMPLE_ROWS = 12_000
@@ -37,15 +44,23 @@ FEATURES = ("words", "word_len", "symbols", "any_symbol", "upper", "marks", "dig
 
 def features(text: str) -> list[float]:
     """``FEATURES`` of a text; shares are stretched near zero, where they matter."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    n = len(words)
+    if len(text) > longtext.LONG:
+        hashes, lines = longtext.word_hashes(text), longtext.line_hashes(text)
+        n, n_lines, kinds, n_kinds = len(hashes), len(lines), longtext.distinct(lines), longtext.distinct(hashes)
+        chars = max(1, sum(len(x.translate(_SPACES)) for x in longtext.stretches(text)))
+        windows = max(0, n - 2)
+        repeats = windows - longtext.distinct(longtext.triples(hashes))
+        same = int((hashes[1:] == hashes[:-1]).sum())
+    else:
+        words = text.encode("utf-8", "surrogatepass").split()
+        lines = [x for x in text.split("\n") if x.translate(_SPACES)]
+        n, n_lines, kinds, n_kinds = len(words), len(lines), len(set(lines)), len(set(words))
+        chars = max(1, len(text.translate(_SPACES)))
+        windows = max(0, n - 2)
+        repeats = windows - len(set(zip(words, words[1:], words[2:]))) if windows else 0
+        same = sum(a == b for a, b in zip(words, words[1:]))  # noqa: B905  pairs
     m = max(1, n)
-    chars = max(1, len(text.translate(_SPACES)))
-    lines = [x for x in text.split("\n") if x.translate(_SPACES)]
     symbols = sum(map(text.count, "#*$%&|<>"))
-    windows = max(0, n - 2)
-    repeats = windows - len(set(zip(words, words[1:], words[2:]))) if windows else 0
-    same = sum(a == b for a, b in zip(words, words[1:]))  # noqa: B905  pairs
     digits = sum(map(text.count, "0123456789"))
     upper = 0 if text.islower() else sum(map(str.isupper, text))
     marks = text.count("!") + text.count("?")
@@ -54,7 +69,7 @@ def features(text: str) -> list[float]:
     near_zero = lambda x: math.log1p(50 * x)
     return [
         math.log1p(n), chars / m, near_zero(symbols / m), float(symbols > 0), near_zero(upper / chars), near_zero(marks / m), near_zero(digits / chars),
-        near_zero((len(lines) - len(set(lines))) / max(1, len(lines))), near_zero(repeats / max(1, windows)), near_zero(same / m), len(set(words)) / m,
+        near_zero((n_lines - kinds) / max(1, n_lines)), near_zero(repeats / max(1, windows)), near_zero(same / m), n_kinds / m,
         near_zero(commas / m), near_zero(stops / m), near_zero(other / m),
     ]
 
@@ -107,10 +122,16 @@ def labelled(labels: DataFrame, column: str, rows: int) -> DataFrame:
     return bounded_sample(one, rows, "_id")
 
 
+def sampled(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the picked ids that have a text, one row for each."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # bounded: the rows picked
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Ranker:
     """Learn from the labels given; the caller leaves held-out ones out."""
     picked = labelled(labels, column, SAMPLE_ROWS)
-    known = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # bounded: SAMPLE_ROWS
+    known = sampled(docs, picked)
     rows = map_texts(known, lambda: lambda texts: [[features(t) for t in texts]], "x array<double>", carry=("label",)).orderBy("doc_id").select("x", "label").collect()
     return Ranker(np.array([r[0] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], np.int64))
 

@@ -8,7 +8,10 @@ character class. Windows over the limit are merged into spans of kind
 ``entropy``, unless the allow-list covers the candidate or known formats
 already cover the whole span.
 
-Null texts read as empty and have no spans; long texts are scanned whole.
+Null and empty texts have no spans; very long texts are scanned whole, in time
+that grows with their length. Spans that start together are listed by kind, in
+the order of ``KINDS``. Repeated rows give repeated results, an empty table an
+empty one. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +34,12 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+")
 
 WINDOW = 20
 #: Bits a character over a window of 20, by class: the most that is possible is 3.32, 4.0 and 4.32.
-LIMITS = {"digits": 9.9, "hex": 3.1, "alnum": 3.55, "base64": 3.6}
-#: Not secrets although they look random: UUIDs, dates and versions, dotted or slashed paths of plain words, rulers.
+LIMITS = {"digits": 2.8, "hex": 3.1, "alnum": 3.55, "base64": 3.6}
+#: Not secrets although they look random: UUIDs, dates, times and other numbers of up to ten digits joined by marks, paths of plain words, rulers.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[0-9+/=_-]+",
+    r"[+/=_-]*[0-9]{1,10}([+/=_-]+[0-9]{1,10})+[+/=_-]*",
+    r"[+/=_-]+",
     r"[A-Z]?[a-z]+([/_=+-]+[A-Z]?[a-z]+)*[/_=+-]*",
     r"[A-Z]+([/_=+-]+[A-Z]+)*[/_=+-]*",
 )
@@ -54,13 +58,14 @@ def char_class(text: str) -> str:
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Merged [start, end) of the windows of ``text`` whose entropy is over the limit of their class.
 
-    The limit is that of the whole candidate's class; a window must mix digits
-    and letters, as words joined by marks do not.
+    The limit is that of the whole candidate's class; unless that is digits, a
+    window must mix digits and letters, as words joined by marks do not.
     """
     n = len(text)
     if n < window:
         return []
-    limit = LIMITS[char_class(text)]
+    kind = char_class(text)
+    limit, mixed = LIMITS[kind], 0 if kind == "digits" else 2
     counts: dict[str, int] = {}
     total, digits, letters = 0.0, 0, 0
     spans: list[tuple[int, int]] = []
@@ -77,7 +82,7 @@ def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
             total += _CLOGC[k - 1] - _CLOGC[k]
             digits -= old.isdigit()
             letters -= old.isalpha()
-        if i >= window - 1 and digits >= 2 and letters >= 2 and math.log2(window) - total / window >= limit:
+        if i >= window - 1 and digits >= mixed and letters >= mixed and math.log2(window) - total / window >= limit:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
@@ -94,29 +99,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def covered(start: int, stop: int, spans: list[tuple[str, int, int]]) -> bool:
-    """Is every character from ``start`` to ``stop`` in one of ``spans``?"""
-    for _, a, b in sorted(spans, key=lambda x: x[1]):
-        if a > start:
-            break
-        start = max(start, b)
-    return start >= stop
-
-
 def scan(text: str, allow: Iterable[re.Pattern] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and the spans that entropy adds; both by start, then kind."""
-    base = base_spans(text)
+    order = lambda x: (x[1], KINDS.index(x[0]), x[2])
+    base = sorted(base_spans(text), key=order)
     allow = [re.compile(p) for p in ALLOW] if allow is None else allow
-    added = []
+    runs: list[tuple[int, int]] = []  # what known formats cover, in order
+    for _, a, b in base:
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+        else:
+            runs.append((a, b))
+    added, at = [], 0
     for m in CANDIDATE.finditer(text):
         if any(p.fullmatch(m.group()) for p in allow):
             continue
         for s, e in entropy_spans(m.group()):
             s, e = s + m.start(), e + m.start()
-            if not covered(s, e, base):
+            while at < len(runs) and runs[at][1] < e:  # spans come in order, so one walk over both does
+                at += 1
+            if at == len(runs) or runs[at][0] > s:
                 added.append(("entropy", s, e))
-    order = lambda x: (x[1], KINDS.index(x[0]), x[2])
-    return sorted(base, key=order), sorted(added, key=order)
+    return base, added
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -141,7 +145,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_texts(df, make, "spans array<struct<kind:string,start:int,stop:int,added:boolean>>", id_col, text_col)
 
 
-def span_digests(found: DataFrame) -> DataFrame:
+def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest columns of ``find_secrets``: counts by kind, the hash of the base spans, all spans as text."""
     kind = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
@@ -153,7 +157,7 @@ def span_digests(found: DataFrame) -> DataFrame:
         ",",
     )
     base = F.filter("spans", lambda x: ~x["added"])
-    return found.select("doc_id", kind("assign"), kind("access"), kind("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), kind("entropy"))
+    return found.select(id_col, kind("assign"), kind("access"), kind("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), kind("entropy"))
 
 
 def redact(text: str, mark: str = "[SECRET]", allow: Iterable[re.Pattern] | None = None) -> str:

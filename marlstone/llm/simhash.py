@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import longtext
 from marlstone.llm._common import bounded_batches, checkpointed, map_texts
 from marlstone.llm.components import connected_components
 
@@ -42,26 +43,32 @@ BLOCK = 2048
 BROADCAST_HOT = 50_000
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint as an unsigned number; ``bytes`` split and lower-case at ASCII only, as wanted here."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+    set_bits, n, held = np.zeros(64, np.int64), 0, []
+    for part in longtext.stretches(text):
+        # the last words of what came before are the first of this part's shingles
+        held = held[len(held) - shingle + 1 :] if len(held) >= shingle else held
+        held = held + part.encode("utf-8", "surrogatepass").lower().split()
+        if len(held) >= shingle:
+            h = _shingle_hashes(held, shingle, seed)
+            n += len(h)
+            for k in range(0, len(h), 1 << 15):
+                some = h[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
+                set_bits += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(held), seed) if held else 0
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
+
+
+def _shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.zeros(len(words), np.int64)
-        np.cumsum(lengths[:-1] + 1, out=starts[1:])
-        stops = (starts + lengths)[shingle - 1 :]
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), stops.tolist())], np.uint64)  # noqa: B905  starts has two more
-    set_bits = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 15):
-        part = h[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.zeros(len(words), np.int64)
+    np.cumsum(lengths[:-1] + 1, out=starts[1:])
+    stops = (starts + lengths)[shingle - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops.tolist())], np.uint64)  # noqa: B905  the last starts have no shingle
 
 
 def _fingerprinter() -> Callable[[list[str]], list]:

@@ -7,8 +7,11 @@ a text stands in for the space that the cut removes, so the counts of the
 parts add up to the count of the whole. A vocabulary for which that does not
 hold is detected when it is loaded and its texts stay whole.
 
-Null and empty texts have no tokens. Rows with a null id are counted like any
-other. Repeated rows give repeated results.
+Null and empty texts have no tokens. Very long texts are counted whole, in parts
+of about ``SPLIT_CHARS`` where that is safe. A text of just ``LIMIT_TOKENS`` tokens is
+not over the limit. Rows with a null id are counted like any other. Repeated
+rows give repeated results, an empty table an empty one. Columns of other names
+are not read.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def counter(name: str) -> Callable[[list[str]], list[np.ndarray]]:
             for part in split_safely(text) if may_split else [text]:
                 call.append(part)
                 owner.append(i)
-                held += len(part)
+                held += len(part.encode("utf-8"))
                 if held >= CALL_BYTES:
                     flush()
                     held = 0

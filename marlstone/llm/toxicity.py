@@ -7,10 +7,19 @@ training rows, so a misspelling that was not seen shares most of its n-grams'
 vectors with the word. The softmax being linear, a word's share in a text's
 score is one number, which workers keep for the words that they have met.
 
-Training takes at most ``SAMPLE_ROWS`` labelled rows whose text is at most
-``SAMPLE_CHARS`` long, picked by a hash of their id. Without rows of both labels
-every score is 0. Null texts read as empty; texts without a word have the score
-of the bias alone. Scoring reads whole texts.
+Training takes at most ``SAMPLE_ROWS`` labelled rows, picked by a hash of their
+id; their texts are read whole, of any length. Words are counted on the
+executors; the driver gets the vocabulary, words of ``MIN_DOCS`` rows or more,
+and for each row the weights of its words, but no texts. Null ids, null labels
+and rows without text do not count, of repeated labels the mean is rounded, and
+of rows that share an id the first text in order counts, once, so the same
+tables give the same model. Without rows of both labels, as with empty tables,
+every score is 0.
+
+Null texts read as empty; texts without a word have the score of the bias alone.
+Scoring reads whole texts, very long ones stretch by stretch. A score at the cut
+counts as toxic. Repeated rows get the same score. Columns of other names are
+not read.
 """
 
 from __future__ import annotations
@@ -18,21 +27,22 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import fold, map_texts, text_column
-from marlstone.llm.ranker import labelled
+from marlstone.llm import longtext
+from marlstone.llm._common import bounded_batches, checkpointed, fold, map_texts, text_column, texts_of
+from marlstone.llm.ranker import labelled, sampled
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 DIM = 4
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 20_000
 #: Rarer words are left out of training: there they only tell single texts apart.
 MIN_DOCS = 3
 STEPS = 120
@@ -88,29 +98,28 @@ class _Rows:
         return self._apply(self.back, g)
 
 
+def weights(text: str) -> tuple[list[str], np.ndarray]:
+    """The text's distinct words, and the share of each in its mean."""
+    counts = longtext.counted(text, words_of)
+    damped = np.fromiter(counts.values(), np.float64, len(counts)) ** DAMP
+    return list(counts), damped / (damped.sum() + PAD)
+
+
 class Model:
     """What scoring needs: each bucket's share in the logit, and the bias."""
 
-    def __init__(self, texts: list[str], y: np.ndarray) -> None:
+    def __init__(self, vocabulary: list[str], rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
+        """rows: of each text, numbers of words and their weights."""
         self.known = len(set(y.tolist())) == 2
         if not self.known:
             return
-        # words are counted and then numbered text by text: the tokens of all texts are never held at once
-        seen = Counter(w for t in texts for w in set(words_of(t)))
-        index = {w: i for i, w in enumerate(w for w, n in seen.items() if n >= MIN_DOCS)}
-        owner, item, weight = [], [], []
-        for i, t in enumerate(texts):
-            counts = Counter(words_of(t))
-            damped = np.fromiter(counts.values(), np.float64, len(counts)) ** DAMP
-            ids = np.fromiter((index.get(w, -1) for w in counts), np.int64, len(counts))
-            known = ids >= 0
-            owner.append(np.full(int(known.sum()), i, np.int32))
-            item.append(ids[known].astype(np.int32))
-            weight.append((damped[known] / (damped.sum() + PAD)).astype(np.float32))
-        by_doc = _Rows(np.concatenate(owner), np.concatenate(item), np.concatenate(weight), len(texts), len(index))
-        bags = [subwords(w) for w in index]
-        sizes = np.array([len(b) for b in bags], np.int64)
-        by_word = _Rows(np.repeat(np.arange(len(bags)), sizes), np.concatenate([np.array(b, np.int64) for b in bags] or [np.zeros(0, np.int64)]), np.repeat(1 / np.maximum(1, sizes), sizes), len(bags), BUCKETS)
+        none = [np.zeros(0, np.int64)]
+        sizes = [len(x) for x, _ in rows]
+        item = np.concatenate([*none, *[x for x, _ in rows]])
+        by_doc = _Rows(np.repeat(np.arange(len(rows)), sizes), item, np.concatenate([np.zeros(0), *[w for _, w in rows]]), len(rows), len(vocabulary))
+        bags = [subwords(w) for w in vocabulary]
+        size = np.array([len(b) for b in bags], np.int64)
+        by_word = _Rows(np.repeat(np.arange(len(bags)), size), np.concatenate([*none, *[np.array(b, np.int64) for b in bags]]), np.repeat(1 / np.maximum(1, size), size), len(bags), BUCKETS)
         self._train(by_doc, by_word, y)
 
     def _train(self, by_doc: _Rows, by_word: _Rows, y: np.ndarray) -> None:
@@ -155,11 +164,11 @@ def scorer(model: Model) -> Callable[[list[str]], list]:
             known.clear()
         z = np.full(len(texts), model.bias)
         for i, text in enumerate(texts):
-            words = words_of(text)
+            words, share = weights(text)
             if words:
-                counts = Counter(words)
-                damped = np.fromiter(counts.values(), np.float64, len(counts)) ** DAMP
-                z[i] += damped @ np.fromiter(map(known.__getitem__, counts), np.float64, len(counts)) / (damped.sum() + PAD)
+                z[i] += share @ np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+            if len(known) > 2 * CACHE:  # a text with very many words
+                known.clear()
         return [1 / (1 + np.exp(-np.clip(z, -60, 60)))]
 
     return run
@@ -167,10 +176,37 @@ def scorer(model: Model) -> Callable[[list[str]], list]:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     """Learn from the labels given; the caller leaves held-out ones out."""
-    picked = labelled(labels, column, SAMPLE_ROWS)
-    known = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # bounded: SAMPLE_ROWS
-    rows = known.orderBy("doc_id", "text").select("text", "label").toArrow()
-    return Model(rows.column(0).to_pylist(), np.array(rows.column(1).to_pylist(), np.int64))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = checkpointed(sampled(docs, labelled(labels, column, SAMPLE_ROWS)).select("text", "label", "doc_id"))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in texts_of(batch, 0):
+                seen.update(longtext.counted(text, words_of).keys())
+            yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+
+    common = rows.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    vocabulary = common.select("word").orderBy("word").toArrow().column(0).to_pylist()  # bounded: words of several of the rows
+    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            ids, shares = [], []
+            for text in texts_of(batch, 0):
+                found, share = weights(text)
+                at = np.fromiter((index.get(w, -1) for w in found), np.int32, len(found))
+                order = np.argsort(at, kind="stable")[int((at < 0).sum()) :]
+                ids.append(at[order])
+                shares.append(share[order].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["doc_id", "label", "ids", "shares"])
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, ids array<int>, shares array<float>"
+    got = rows.mapInArrow(bags, schema).orderBy("doc_id").select("label", "ids", "shares").toArrow().combine_chunks()
+    lists = [(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(got.column("ids"), got.column("shares"), strict=True)]
+    return Model(vocabulary, lists, np.array(got.column("label").to_pylist(), np.int64))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
