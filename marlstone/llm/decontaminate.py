@@ -16,10 +16,18 @@ one), ``OVERLAP`` of the five-word shingles must occur.
 
 Items of two to four words are found where all of their words stand side by
 side, with a score of one. In scripts without spaces each character is a word.
-Items of one word have no answer; they, empty and null ones are not searched for. Null
-and empty texts have no hits. Items with the same text are all reported. The
-index is sent to workers in shards of bounded rows and bytes; frequencies are
-those of the shard.
+Items of one word have no answer; they, empty and null ones are not searched
+for. Null and empty texts have no hits; very long ones are searched whole, some
+``PASSAGES`` passages at a time. A score or share that equals its threshold counts.
+Items with the same text are all reported; an item that occurs twice in a text,
+or twice in the table, is reported once. Repeated rows give repeated hits;
+without items nothing is found, and everything is kept. Columns of other names
+are not read.
+
+The index is sent to workers in shards of bounded rows and bytes, each for a pass
+over the texts, so that a worker holds one of them. Frequencies and lengths are
+those of the whole table of items, however many shards it takes, so scores do
+not hang on their number.
 """
 
 from __future__ import annotations
@@ -27,14 +35,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import map_texts, text_column
+from marlstone.llm import longtext
+from marlstone.llm._common import bounded_batches, checkpointed, map_texts, text_column, texts_of
 
 #: Scripts that are written without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
 UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -60,6 +71,20 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def all_words(text: str) -> list[str]:
+    """The words of a text; of a long one stretch by stretch, equal ones as one object."""
+    if len(text) <= longtext.LONG:
+        return words_of(text)
+    seen: dict[str, str] = {}
+    return [seen.setdefault(w, w) for part in longtext.stretches(text) for w in words_of(part)]
+
+
+def units_of(words: list[str]) -> list[Counter]:
+    """An item's words cut into units of like size; items of few words have none."""
+    n = math.ceil(len(words) / UNIT) if len(words) >= SHINGLE else 0
+    return [Counter(words[k * len(words) // n : (k + 1) * len(words) // n]) for k in range(n)]
+
+
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     """The last sentence with a word is the answer; of a single sentence, the last half."""
     parts = [w for w in map(words_of, re.split(r"(?<=[.!?])\s+", text)) if w]
@@ -163,7 +188,8 @@ class Tier:
 class Index:
     """Units in tiers of similar length, as a short unit's impacts are large and would loosen all bounds."""
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]], whole: tuple[dict[str, int], int, float] | None = None) -> None:
+        """whole: of all items, in how many units each term is, the number of units and their mean length; else these items are all."""
         self.items: list[Item] = []
         self.unit_item: list[int] = []
         self.short: dict[tuple[str, ...], list[object]] = {}
@@ -174,15 +200,14 @@ class Index:
                 if len(words) > 1:
                     self.short.setdefault(tuple(words), []).append(item_id)
                 continue
-            n = math.ceil(len(words) / UNIT)
-            for k in range(n):
-                counts.append(Counter(words[k * len(words) // n : (k + 1) * len(words) // n]))
-                self.unit_item.append(len(self.items))
+            own = units_of(words)
+            counts += own
+            self.unit_item += [len(self.items)] * len(own)
             self.items.append(Item(item_id, len(words), *question_and_answer(text)))
         df = Counter(t for c in counts for t in c)
         total = len(counts)
-        mean = sum(sum(c.values()) for c in counts) / max(1, total)
-        idf = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        known, every, mean = whole or (df, total, sum(sum(c.values()) for c in counts) / max(1, total))
+        idf = {t: math.log(1 + (every - known[t] + 0.5) / (known[t] + 0.5)) for t in df}
         self.term: dict[str, int] = {t: i for i, t in enumerate(df)}
         by_size = sorted(range(total), key=lambda u: (sum(counts[u].values()), u))
         self.tiers: list[Tier] = []
@@ -204,13 +229,13 @@ def find_short(index: Index, words: list[str]) -> list[tuple[object, float, floa
     """The items of fewer than ``SHINGLE`` words whose words, question and then answer, stand side by side."""
     found: set[tuple[str, ...]] = set()
     for k in sorted({len(x) for x in index.short}):
-        found.update(x for x in zip(*[words[i:] for i in range(k)]) if x in index.short)  # noqa: B905  cut to the shortest
+        found.update(x for x in zip(*[islice(words, i, None) for i in range(k)]) if x in index.short)  # noqa: B905  cut to the shortest
     return [(item_id, 1.0, 1.0, 1.0) for x in sorted(found) for item_id in index.short[x]]
 
 
 def find(index: Index, text: str) -> list[tuple[object, float, float, float]]:
     """(item_id, score, question's overlap, answer's overlap) of every verified item, each once."""
-    words = words_of(text)
+    words = all_words(text)
     short = find_short(index, words) if index.short else []
     if not words or not index.items:
         return short
@@ -242,13 +267,43 @@ def find(index: Index, text: str) -> list[tuple[object, float, float, float]]:
     return out
 
 
-def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """The index of ``items``, in as many shards as their rows and bytes need."""
+def terms_of(items: DataFrame) -> DataFrame:
+    """(shard, term, n, size) of ``items`` (t, shard): in how many units each term is; under the null term, the units and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            sizes: Counter = Counter()
+            for text, shard in zip(texts_of(batch, 0), batch.column(1).to_pylist(), strict=True):
+                for unit in units_of(all_words(text)):
+                    found.update((shard, t) for t in unit)
+                    found[shard, None] += 1
+                    sizes[shard, None] += sum(unit.values())
+            rows = [(*k, n, sizes[k]) for k, n in found.items()]
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((),) * 4, kinds, strict=True)], names=["shard", "term", "n", "size"])
+
+    bounded_batches(items.sparkSession)
+    return items.select("t", "shard").mapInArrow(run, "shard int, term string, n long, size long").groupBy("shard", "term").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+
+def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """The index of ``items``, in as many shards as their rows and bytes need, one after the other."""
     rows, size = items.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
     n = max(math.ceil(rows / SHARD_ITEMS), math.ceil((size or 0) / SHARD_BYTES), 1)
-    of = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(n))
-    keyed = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return [Index(sorted(((r.i, r.t) for r in keyed.where(of == k).collect()), key=lambda x: (str(x[0]), x[1] or ""))) for k in range(n)]
+    of = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(n)).cast("int")
+    keyed = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), of.alias("shard")).distinct()
+    terms = whole = None
+    if n > 1:
+        terms = checkpointed(terms_of(keyed))
+        whole = checkpointed(terms.groupBy("term").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
+    for k in range(n):
+        about = None
+        if terms is not None:
+            total, words = whole.where("term IS NULL").select("n", "size").first() or (0, 0)
+            own = whole.join(terms.where(F.col("shard") == k).select("term"), "term").select("term", "n").toArrow()  # terms of one shard
+            about = dict(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True)), total, words / max(1, total)
+        yield Index(sorted(((r.i, r.t) for r in keyed.where(F.col("shard") == k).collect()), key=lambda x: (str(x[0]), x[1] or "")), about)
 
 
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

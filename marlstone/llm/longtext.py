@@ -50,9 +50,10 @@ def _hashed(parts: Iterator[list[bytes]]) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each run of other than ASCII white space, in order."""
-    return _hashed(x.encode("utf-8", "surrogatepass").split() for x in stretches(text))
+def word_hashes(text: str, lower: bool = False) -> np.ndarray:
+    """A hash of each run of other than ASCII white space, in order; ``lower``: A-Z as a-z."""
+    raw = (x.encode("utf-8", "surrogatepass") for x in stretches(text))
+    return _hashed((x.lower() if lower else x).split() for x in raw)
 
 
 def line_hashes(text: str) -> np.ndarray:
@@ -60,9 +61,19 @@ def line_hashes(text: str) -> np.ndarray:
     return _hashed([y for y in x.encode("utf-8", "surrogatepass").split(b"\n") if y.strip()] for x in stretches(text, _LINE))
 
 
+def tuples(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each ``k`` neighbouring words."""
+    n = len(words) - k + 1
+    if n < 1 or k < 1:
+        return words[:0]
+    out = words[:n].copy()
+    for i in range(1, k):
+        out = out * _ODD + words[i : i + n]
+    return out
+
+
 def triples(words: np.ndarray) -> np.ndarray:
-    """A hash of each three neighbouring words."""
-    return (words[:-2] * _ODD + words[1:-1]) * _ODD + words[2:] if len(words) > 2 else words[:0]
+    return tuples(words, 3)
 
 
 def several(hashes: np.ndarray) -> np.ndarray:

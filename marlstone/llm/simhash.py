@@ -14,10 +14,21 @@ of its links, not all of its pairs. An anchor that is home to many fingerprints
 is dealt out as blocks of homes times blocks of members, each compared by a task
 of its own, so none is gathered in one place and none is cut off.
 
-Null and empty texts have fingerprint zero, linked like any other. Rows with a
-null id get a fingerprint and their fingerprint's component, but are never its
-representative; the component is null if no row with an id can be reached.
-Repeated rows give repeated results.
+Null and empty texts have fingerprint zero, linked like any other; very long ones
+are read whole, stretch by stretch. Rows with a null id get a fingerprint and
+their fingerprint's component, but are never its representative; the component
+is null if no row with an id can be reached. A bit that is set in just half of
+the shingles is zero. Repeated rows give repeated results, an empty table an
+empty one. Columns of other names are not read.
+
+To keep one document of each group of near-copies, by the similarity of sets of
+five-word runs, ``keep_one`` searches with wider fingerprints: ``WIDE`` of 64 bits,
+of two-word runs, as an edited word changes fewer of those. Cut in blocks of 32
+bits, two that differ by at most two bits in any block share an anchor within
+distance two of both, as the word half-way between them has its home there. So
+each is replicated to the anchors within two, and members of an anchor are
+candidates if all of their bits differ in ``WIDE_DISTANCE`` at most. What is
+dropped is decided by the texts themselves, in ``leaders``.
 """
 
 from __future__ import annotations
@@ -30,15 +41,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import longtext
+from marlstone.llm import leaders, longtext
 from marlstone.llm._common import bounded_batches, checkpointed, map_texts
 from marlstone.llm.components import connected_components
 
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
+#: The search for near-copies: seeds of its fingerprints, words in a run, and bits that may differ in all.
+WIDE = (42, 43)
+WIDE_SHINGLE = 2
+WIDE_DISTANCE = 28
 #: Homes of one anchor that one task compares, and members compared with them at once.
 BLOCK = 2048
+#: Up to so many members of an anchor, all of their links are given.
+FEW = 32
 #: Up to this many hot anchors their table is broadcast (16 bytes each).
 BROADCAST_HOT = 50_000
 
@@ -89,27 +106,35 @@ def _syndrome(half: Column) -> Column:
     return syndrome
 
 
-def anchors(fps: DataFrame) -> DataFrame:
-    """(fp, rep, half, home, more): each half's home anchor, and the other anchors within distance two of it."""
+def anchors(fps: DataFrame, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(words, rep, half, home, more): for each half of each fingerprint, its home anchor, and the other anchors within distance two of it."""
     halves = F.array(
-        F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("x")),
-        F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("x")),
+        *[
+            F.struct(F.lit(2 * i + k).alias("half"), (F.shiftrightunsigned(w, 32) if k else F.col(w).bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"))
+            for i, w in enumerate(words)
+            for k in (0, 1)
+        ]
     )
-    split = fps.select("fp", "rep", F.explode(halves).alias("h")).select("fp", "rep", F.col("h.half").alias("half"), F.col("h.x").alias("x"))
+    split = fps.select(*words, "rep", F.explode(halves).alias("h")).select(*words, "rep", F.col("h.half").alias("half"), F.col("h.x").alias("x"))
     syndrome = _syndrome(F.col("x"))
     step = split.withColumn("s", syndrome)
     step = step.withColumn("home", F.col("x").bitwiseXOR(F.expr("if(s > 0, shiftleft(1L, s - 1), 0L)")))
     # at distance two: two flips i < j with i xor j = s, or the one flip s and the free bit
     pairs = F.expr("transform(filter(sequence(1, 31), i -> s > 0 and i < (i ^ s) and (i ^ s) <= 31), i -> x ^ shiftleft(1L, i - 1) ^ shiftleft(1L, (i ^ s) - 1))")
     free = F.expr("array(home ^ shiftleft(1L, 31))")
-    return step.select("fp", "rep", "half", "home", F.concat(pairs, free).alias("more"))
+    return step.select(*words, "rep", "half", "home", F.concat(pairs, free).alias("more"))
 
 
-def _forest(homes: np.ndarray, home_reps: np.ndarray, fps: np.ndarray, reps: np.ndarray, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _apart(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Bits in which fingerprints differ, word by word summed; of a signed number, numpy counts the absolute value's bits."""
+    return sum(np.bitwise_count((x ^ y).view(np.uint64)) for x, y in zip(a, b, strict=True))
+
+
+def _forest(homes: list[np.ndarray], home_reps: np.ndarray, fps: list[np.ndarray], reps: np.ndarray, label: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """A forest that joins what links between homes and members; label: the homes' running component, changed in place."""
     out = []
-    for k in range(0, len(fps), BLOCK):
-        near = np.bitwise_count((homes[:, None] ^ fps[None, k : k + BLOCK]).view(np.uint64)) <= DISTANCE  # of a signed number it counts the absolute value's bits
+    for k in range(0, len(reps), BLOCK):
+        near = _apart([x[:, None] for x in homes], [x[None, k : k + BLOCK] for x in fps]) <= most
         rows, cols = np.nonzero(near)
         if not len(rows):
             continue
@@ -117,7 +142,7 @@ def _forest(homes: np.ndarray, home_reps: np.ndarray, fps: np.ndarray, reps: np.
         rows, cols = rows[keep], cols[keep]
         if not len(rows):
             continue
-        member = np.full(near.shape[1], len(homes), np.int64)
+        member = np.full(near.shape[1], len(home_reps), np.int64)
         while True:  # both sides take the least label that they reach
             np.minimum.at(member, cols, label[rows])
             least = label.copy()
@@ -129,7 +154,7 @@ def _forest(homes: np.ndarray, home_reps: np.ndarray, fps: np.ndarray, reps: np.
             moved = np.nonzero(least != label)[0]
             out.append((home_reps[moved], home_reps[least[moved]]))
             label[:] = least
-        hit = member < len(homes)
+        hit = member < len(home_reps)
         out.append((reps[k : k + BLOCK][hit], home_reps[member[hit]]))
     return out
 
@@ -173,7 +198,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held is None:
                     own = np.concatenate([x for x, _ in homes]), np.concatenate([x for _, x in homes])
                     held = (*own, np.arange(len(own[0])))
-                found += _forest(held[0], held[1], fp[a + n_home : b], rep[a + n_home : b], held[2])
+                found += _forest([held[0]], held[1], [fp[a + n_home : b]], rep[a + n_home : b], held[2], DISTANCE)
         yield from made(found)
 
 
@@ -216,20 +241,106 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(of_fp, "fp", "left").select(id_col, hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the smallest id of their component; all columns as they are.
+def _wide(text: str) -> list[int]:
+    return [fingerprint(text, WIDE_SHINGLE, seed) for seed in WIDE]
+
+
+def _wide_fingerprinter() -> Callable[[list[str]], list]:
+    def run(texts: list[str]) -> list:
+        made = np.array([_wide(t) for t in texts], np.uint64).reshape(len(texts), len(WIDE)).view(np.int64)
+        return [np.ascontiguousarray(made[:, i]) for i in range(len(WIDE))]
+
+    return run
 
-    Of rows that share an id one stays. Rows with a null id cannot be linked by
-    id; of them one stays for each text.
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches are sorted by (key, salt): links between the members of each group, all of few, a forest of many."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def made(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, salt, rep, *fps = columns
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        starts = np.nonzero(new)[0]
+        sizes = np.diff(np.append(starts, len(key)))
+        size, nth = np.repeat(sizes, sizes), np.arange(len(key)) - np.repeat(starts, sizes)
+        found = []
+        for step in range(1, min(FEW, int(sizes.max(initial=0)))):
+            i = np.nonzero((size <= FEW) & (nth + step < size))[0]
+            i = i[_apart([x[i] for x in fps], [x[i + step] for x in fps]) <= WIDE_DISTANCE]
+            found.append((rep[i], rep[i + step]))
+        for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            own = [x[a : a + n] for x in fps]
+            found += _forest(own, rep[a : a + n], own, rep[a : a + n], np.arange(n), WIDE_DISTANCE)
+        if found:
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [x.to_numpy() for x in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
+        cut = len(last) - int(last.sum())
+        held = [x[cut:] for x in columns]  # the last group may go on
+        yield from made([x[:cut] for x in columns])
+    if held is not None:
+        yield from made(held)
+
+
+def wide_links(fps: DataFrame) -> DataFrame:
+    """(u, v): links between representatives of wide fingerprints that share an anchor and are near; ``fps`` has one row per fingerprint (f0, f1, ..., rep)."""
+    words = tuple(f"f{i}" for i in range(len(WIDE)))
+    key = F.shiftleft(F.col("half").cast("long"), 32).bitwiseOR(F.col("anchor"))
+    met = anchors(fps, words).select("half", F.explode(F.concat(F.array("home"), F.col("more"))).alias("anchor"), "rep", *words).select(key.alias("key"), "rep", *words)
+    counted = met.groupBy("key").count().where(F.col("count") > BLOCK)
+    hot = checkpointed(counted.select(F.col("key").alias("hot"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    n_hot = hot.count()
+    if n_hot:  # a hot anchor's members are dealt out as pairs of blocks
+        joined = met.join(F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot, F.col("key") == F.col("hot"), "left")
+        own = F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))
+        met = joined.withColumn("salt", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
+    else:
+        met = met.withColumn("salt", F.lit(0))
+    bounded_batches(fps.sparkSession)
+    return met.select("key", "salt", "rep", *words).repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_meet, "u long, v long").distinct()
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near-copies of rows that stay; all columns as they are.
+
+    Of rows with the same text the one with the smallest id stays; null ids come
+    last, and of rows that also share the id the first in order of their JSON.
+    Of different texts, in the same order, each stays unless its set of
+    five-word runs has a Jaccard similarity of 0.8 or more to that of one that
+    stays before it in its group of candidates. So what goes has a near-copy that
+    stays, and no two that stay were found and are near-copies.
     """
-    found = near_duplicates(df, id_col, text_col)
-    keep = checkpointed(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count())
-    # joined by name on one column, so whatever else the rows have cannot clash
-    once, repeated = keep.where("count = 1").select(id_col), keep.where("count > 1").select(id_col)
-    joined = df.join(once.hint("shuffle_hash"), id_col, "left_semi").select(*df.columns)
-    if repeated.head(1):
-        joined = joined.unionByName(df.join(repeated.hint("shuffle_hash"), id_col, "left_semi").select(*df.columns).dropDuplicates([id_col]))
-    nulls = df.where(F.col(id_col).isNull())
-    if nulls.head(1):
-        joined = joined.unionByName(nulls.dropDuplicates([text_col]))
-    return joined
+    words = [f"f{i}" for i in range(len(WIDE))]
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *leaders.identity(F.col(text_col)))
+    made = map_texts(texts, _wide_fingerprinter, ", ".join(f"{w} long" for w in words), "id", "text", ("t1", "t2"))
+    kinds = checkpointed(made.groupBy("t1", "t2").agg(F.count("*").alias("rows"), F.min("id").alias("id"), *[F.min(w).alias(w) for w in words]))
+    # texts are nodes by a number of their own, as ids may be null or shared
+    fps = checkpointed(kinds.groupBy(*words).agg(F.min("t1").alias("rep"), F.count("*").alias("texts")))
+    component = connected_components(wide_links(fps))
+    of = fps.join(component, F.col("rep") == F.col("node"), "left").select(*words, "texts", F.coalesce("component", "rep").alias("component"))
+    sums = of.groupBy("component").agg(F.sum("texts").alias("texts"))
+    several = checkpointed(of.drop("texts").join(sums.where("texts > 1").select("component"), "component"))
+    rivals = kinds.join(several, words).select("t1", "t2", "id", "component")
+    gone = leaders.dropped(rivals, texts)
+    stay = kinds.join(gone, ["t1", "t2"], "left_anti").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("id").alias("_id"), F.col("rows").alias("_rows"))
+    stay = checkpointed(stay)
+    t1, t2 = leaders.identity(F.col(text_col))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    keyed = df.select(row.alias("_row"), t1.alias("_t1"), t2.alias("_t2"), F.col(id_col).alias("_id"))
+    joined = lambda of: keyed.join(of.select("_t1", "_t2", F.col("_id").alias("_least")).hint("shuffle_hash"), ["_t1", "_t2"]).where(F.col("_id").eqNullSafe(F.col("_least")))
+    out = joined(stay.where("_rows = 1")).select("_row")
+    if stay.where("_rows > 1").head(1):
+        first = joined(stay.where("_rows > 1")).groupBy("_t1", "_t2").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        out = out.unionByName(first.select("_row"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])

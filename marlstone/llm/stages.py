@@ -1,8 +1,11 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame, each over all rows that it is given.
 
-All but the last return the columns of ``docs``. Rows with a null text are
-scored as empty ones; rows with a null id are never dropped for another's sake
-but by their own text. Columns beside doc_id, text and n_chars are passed on.
+All but the last return the columns of ``docs``, those beside doc_id, text and
+n_chars as they are, whatever their names. Null texts are scored, compared and
+searched as empty ones, and stay null. Very long texts are read whole by every
+stage. Of rows that repeat a text one stays, that with the smallest id; null ids
+come last, and rows that tie go by their JSON. A score at the cut is kept. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id."""
+    """Rows without near-copies of rows that stay: runs of five words, a similarity of 0.8 or more."""
     bounded_batches(spark)
     return simhash.keep_one(docs)
 

@@ -24,8 +24,11 @@ suffix array, and blocks are merged in pairs by binary search of one block's
 windows among those of the other, every pair in a task of its own.
 
 Spans depend on the text alone, so rows with the same text share them, and
-null or repeated ids do no harm. Null texts read as empty. Texts shorter than a
-window keep all bytes.
+null or repeated ids do no harm; of rows that repeat a text, each loses all of
+it that windows cover. Null texts read as empty. Texts shorter than a window
+keep all bytes; very long ones are hashed some ``BUFFER`` bytes at a time and lose
+windows like any other. Windows that tie are all repeated: none is kept as the
+first. An empty table gives an empty one. Columns of other names are not read.
 """
 
 from __future__ import annotations

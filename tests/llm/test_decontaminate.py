@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from llm_helpers import ODD, sentence
@@ -96,11 +100,73 @@ def test_results_equal_brute_force_on_the_table(spark):
 
 def test_shards_and_empty_tables(spark, make_docs, items, monkeypatch):
     docs = make_docs([r.text for r in items.collect()])
-    whole = {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()}
+    whole = {(r.doc_id, r.item_id): r.score for r in D.contaminated(docs, items).collect()}
     monkeypatch.setattr(D, "SHARD_ITEMS", 3)
-    assert len(D.shards(items)) == 3
-    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == whole
+    assert len(list(D.shards(items))) == 3
+    again = {(r.doc_id, r.item_id): r.score for r in D.contaminated(docs, items).collect()}
+    assert again.keys() == whole.keys() and all(abs(again[k] - whole[k]) < 1e-6 for k in whole)
     assert D.contaminated(docs, items.where("false")).count() == 0
     assert D.contaminated(docs.where("false"), items).count() == 0
     kept = {r.doc_id for r in D.clean(docs, items).collect()}
     assert kept == {4, 5, 6} and D.clean(docs, items).columns == docs.columns
+
+
+def plain_bm25(items, text):
+    """Scores and overlaps by their definitions, from the items' texts alone."""
+    find = lambda t: re.findall(r"\w+", (t or "").lower())
+    units = []
+    for i, t in items:
+        w = find(t)
+        n = math.ceil(len(w) / 64) if len(w) >= 5 else 0
+        units += [(i, t, w[k * len(w) // n : (k + 1) * len(w) // n]) for k in range(n)]
+    df = Counter(x for _, _, w in units for x in set(w))
+    mean = sum(len(w) for _, _, w in units) / len(units)
+    words, found = find(text), {}
+    for a in range(0, max(1, len(words) - 64), 64):
+        passage = set(words[a : a + 128])
+        for i, t, w in units:
+            weight = {x: math.log(1 + (len(units) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, n in Counter(w).items()}
+            score = sum(v for x, v in weight.items() if x in passage) / sum(weight.values())
+            if score < 0.7 - 1e-6:
+                continue
+            size = len(find(t))
+            around = words[max(0, a - size) : a + 128 + size]
+            parts = [p for p in map(find, re.split(r"(?<=[.!?])\s+", t)) if p]
+            half = (len(parts[0]) + 1) // 2
+            sides = ([x for p in parts[:-1] for x in p], parts[-1]) if len(parts) > 1 else (parts[0][:half], parts[0][half:])
+            shares = []
+            for side in sides:
+                k = min(5, len(side))
+                own = {tuple(side[j : j + k]) for j in range(len(side) - k + 1)}
+                shares.append(len(own & {tuple(around[j : j + k]) for j in range(len(around) - k + 1)}) / len(own))
+            if min(shares) >= 0.8:
+                found[i] = max(found.get(i, 0), score)
+    return found
+
+
+def test_query_equals_a_plain_bm25_on_the_table(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): r.score for r in queries.QUERIES["op1_decontamination"](spark, small).collect()}
+    want = {(d.doc_id, i): s for d in docs for i, s in plain_bm25(items, d.text).items()}
+    assert got.keys() == want.keys() and want
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_repeated_rows_ids_and_items(spark, make_docs, draw):
+    text = sentence(draw, 30).capitalize() + ". " + sentence(draw, 9) + "."
+    items = spark.createDataFrame([(1, text), (1, text), (2, text), (None, None)], "item_id long, text string")
+    docs = make_docs([f"x {text} y {text}"] * 3, ids=[7, 7, None])
+    got = sorted(((r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()), key=str)
+    assert got == sorted([(7, 1), (7, 2)] * 2 + [(None, 1), (None, 2)], key=str)
+    assert D.clean(docs, items).count() == 0
+
+
+def test_long_texts_share_their_words(items, draw, monkeypatch):
+    rows = [(r.item_id, r.text) for r in items.collect()]
+    text = " ".join([sentence(draw, 400), rows[2][1], sentence(draw, 200)])
+    whole = D.find(D.Index(rows), text)
+    monkeypatch.setattr(D.longtext, "LONG", 50)
+    monkeypatch.setattr(D.longtext, "STRETCH", 60)
+    assert D.find(D.Index(rows), text) == whole

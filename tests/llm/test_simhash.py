@@ -110,11 +110,61 @@ def test_components_of_graphs(spark):
 
 def test_keep_one_row_of_each_group(make_docs, clashing, draw):
     texts = [sentence(draw, 60) for _ in range(5)]
-    rows = [*texts, texts[0], texts[1], texts[2], None, "", texts[3], texts[3], texts[4]]
-    ids = [10, 11, 12, 13, 14, 3, 20, 12, 30, 31, None, None, 14]
+    rows = [*texts, texts[0], texts[1], texts[2], None, "", texts[3], texts[3], texts[4], "only null ids", "only null ids"]
+    ids = [10, 11, 12, 13, 14, 3, 20, 12, 30, 31, None, None, 14, None, None]
     docs = make_docs(rows, ids=ids, extra=clashing)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert sorted(str(d) for d, _ in got) == sorted(["3", "11", "12", "13", "14", "30", "None"])
     assert simhash.keep_one(make_docs([])).count() == 0
+
+
+def five_word_runs(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_kept(ids, texts):
+    """In order of ids, each text that is not like one kept before it."""
+    kept = []
+    for i, own in sorted(zip(ids, map(five_word_runs, texts), strict=True), key=lambda x: x[0]):
+        if not any(alike(own, other) for _, other in kept):
+            kept.append((i, own))
+    return {i for i, _ in kept}
+
+
+def edited(draw, text, n):
+    words = text.split()
+    for k in draw.sample(range(0, len(words), 6), n):
+        words[k] = f"edit{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_equal_brute_force(make_docs, draw, monkeypatch):
+    texts = [sentence(draw, n) for n in (300, 200, 250, 90)]
+    texts += [edited(draw, texts[k % 3], e) for k in range(60) for e in (1, 3, 6, 9)]
+    texts += [sentence(draw, 120) for _ in range(40)] + [t or "" for t in ODD]
+    draw.shuffle(texts)
+    docs = make_docs(texts)
+    want = brute_kept(range(len(texts)), texts)
+    whole = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert whole == want
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "FEW", 4)
+    monkeypatch.setattr(simhash.leaders, "FIRST", 2)
+    monkeypatch.setattr(simhash.leaders, "PART_BYTES", 4000)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+
+
+def test_what_goes_has_a_near_copy_that_stays(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    kept = {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    sets = dict(zip(docs.doc_id, map(five_word_runs, docs.text), strict=True))
+    for i in sets.keys() - kept:
+        assert any(alike(sets[i], sets[j]) for j in kept)
+    assert kept == brute_kept(docs.doc_id, docs.text)
