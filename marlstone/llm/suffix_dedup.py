@@ -34,7 +34,6 @@ first. An empty table gives an empty one. Columns of other names are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import bounded_batches, checkpointed, ensure_checkpoint_dir
+from marlstone.llm._common import bounded_batches, checkpointed, stored
 
 WIDTH = 400
 GRAM = 32
@@ -372,15 +371,6 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/suffix-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _identity(text_col: str) -> list[Column]:
     """Two independent 64-bit hashes of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -393,10 +383,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(spark)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ident")
     rows = df.select(*_identity(text_col), ident, F.col(text_col).alias("text"))
-    found = _stored(rows.where(F.octet_length("text") >= WIDTH).mapInArrow(_emit, SEGMENT_SCHEMA))
+    found = stored(rows.where(F.octet_length("text") >= WIDTH).mapInArrow(_emit, SEGMENT_SCHEMA), "suffix")
     # most keys occur once: they go before anything wider is dealt out
     again = found.groupBy("key").agg(F.count("*").alias("all"), F.max("several").alias("several")).where("all > 1 or several").select("key")
-    found = _stored(found.join(again, "key", "left_semi"))
+    found = stored(found.join(again, "key", "left_semi"), "suffix")
     name = ["key", "s1", "s2"]
     distinct = found.groupBy(*name).agg(F.count("*").alias("times"), F.max("several").alias("several"), F.min(F.struct("t1", "t2", "ident", "start", "windows")).alias("one"))
     distinct = checkpointed(distinct)
