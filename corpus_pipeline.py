@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import stages
-from marlstone.llm._common import checkpointed, read
+from marlstone.llm._common import read, stored
 
 STAGES = [
     ("quality_classifier", stages.quality_stage),
@@ -25,10 +25,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared checkpoint folder and read from there."""
+    """All stages over ``documents``; each stage's rows are written as Parquet to the shared checkpoint folder and read from there."""
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = checkpointed(docs)
+            docs = stored(docs, f"stage-{name}")
     return docs
