@@ -52,9 +52,10 @@ SEED = 42
 WIDE = (42, 43)
 WIDE_SHINGLE = 2
 WIDE_DISTANCE = 28
-#: Homes of one anchor that one task compares, and members compared with them at once.
+#: Homes of one anchor that one task compares, and pairs that are compared at once.
 BLOCK = 2048
-#: Up to so many members of an anchor, all of their links are given.
+CELLS = 1 << 19
+#: Up to so many members of an anchor are compared step by step, for all anchors of a batch at once.
 FEW = 32
 #: Up to this many hot anchors their table is broadcast (16 bytes each).
 BROADCAST_HOT = 50_000
@@ -133,8 +134,9 @@ def _apart(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _forest(homes: list[np.ndarray], home_reps: np.ndarray, fps: list[np.ndarray], reps: np.ndarray, label: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """A forest that joins what links between homes and members; label: the homes' running component, changed in place."""
     out = []
-    for k in range(0, len(reps), BLOCK):
-        near = _apart([x[:, None] for x in homes], [x[None, k : k + BLOCK] for x in fps]) <= most
+    step = max(1, CELLS // max(1, len(home_reps)))
+    for k in range(0, len(reps), step):
+        near = _apart([x[:, None] for x in homes], [x[None, k : k + step] for x in fps]) <= most
         rows, cols = np.nonzero(near)
         if not len(rows):
             continue
@@ -155,7 +157,7 @@ def _forest(homes: list[np.ndarray], home_reps: np.ndarray, fps: list[np.ndarray
             out.append((home_reps[moved], home_reps[least[moved]]))
             label[:] = least
         hit = member < len(home_reps)
-        out.append((reps[k : k + BLOCK][hit], home_reps[member[hit]]))
+        out.append((reps[k : k + step][hit], home_reps[member[hit]]))
     return out
 
 
@@ -254,7 +256,11 @@ def _wide_fingerprinter() -> Callable[[list[str]], list]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches are sorted by (key, salt): links between the members of each group, all of few, a forest of many."""
+    """Batches are sorted by (key, salt, rep): links that join what is near in each group.
+
+    A link of i and j is left out where i is near the one after it and that is
+    near j: what is nearer together in order joins them then.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def made(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +271,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(key)))
         size, nth = np.repeat(sizes, sizes), np.arange(len(key)) - np.repeat(starts, sizes)
         found = []
+        next_, before = np.zeros(len(key) + 1, bool), np.zeros(len(key) + 1, bool)
         for step in range(1, min(FEW, int(sizes.max(initial=0)))):
             i = np.nonzero((size <= FEW) & (nth + step < size))[0]
-            i = i[_apart([x[i] for x in fps], [x[i + step] for x in fps]) <= WIDE_DISTANCE]
+            near = np.zeros(len(key) + 1, bool)
+            near[i] = _apart([x[i] for x in fps], [x[i + step] for x in fps]) <= WIDE_DISTANCE
+            if step == 1:
+                next_ = near
+            i = np.nonzero(near[:-1] & ~(next_[:-1] & before[1:]))[0]
             found.append((rep[i], rep[i + step]))
+            before = near
         for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
             own = [x[a : a + n] for x in fps]
             found += _forest(own, rep[a : a + n], own, rep[a : a + n], np.arange(n), WIDE_DISTANCE)
@@ -308,7 +320,7 @@ def wide_links(fps: DataFrame) -> DataFrame:
     else:
         met = met.withColumn("salt", F.lit(0))
     bounded_batches(fps.sparkSession)
-    return met.select("key", "salt", "rep", *words).repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_meet, "u long, v long").distinct()
+    return met.select("key", "salt", "rep", *words).repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(_meet, "u long, v long").distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
