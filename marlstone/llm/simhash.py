@@ -34,6 +34,7 @@ dropped is decided by the texts themselves, in ``leaders``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,9 @@ WIDE_DISTANCE = 28
 #: Homes of one anchor that one task compares, and pairs that are compared at once.
 BLOCK = 2048
 CELLS = 1 << 19
+#: Members of a hot anchor's block in that search, and the share of fingerprints that hot anchors are told by.
+WIDE_BLOCK = 8192
+SAMPLED = 16
 #: Up to so many members of an anchor are compared step by step, for all anchors of a batch at once.
 FEW = 32
 #: Up to this many hot anchors their table is broadcast (16 bytes each).
@@ -256,7 +260,7 @@ def _wide_fingerprinter() -> Callable[[list[str]], list]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches are sorted by (key, salt, rep): links that join what is near in each group.
+    """Batches are sorted by (key, words): links that join what is near in each group.
 
     A link of i and j is left out where i is near the one after it and that is
     near j: what is nearer together in order joins them then.
@@ -264,9 +268,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def made(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, salt, rep, *fps = columns
+        key, *fps = columns
+        rep = np.bitwise_xor.reduce(fps)
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        new[1:] = key[1:] != key[:-1]
         starts = np.nonzero(new)[0]
         sizes = np.diff(np.append(starts, len(key)))
         size, nth = np.repeat(sizes, sizes), np.arange(len(key)) - np.repeat(starts, sizes)
@@ -296,7 +301,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
         if not len(columns[0]):
             continue
-        last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
+        last = columns[0] == columns[0][-1]
         cut = len(last) - int(last.sum())
         held = [x[cut:] for x in columns]  # the last group may go on
         yield from made([x[:cut] for x in columns])
@@ -304,23 +309,33 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from made(held)
 
 
+def node_of(words: list[str]) -> Column:
+    """A fingerprint's number. Two that share one differ in the same bits of several words, so they are near, and a group may hold both."""
+    return reduce(Column.bitwiseXOR, map(F.col, words))
+
+
 def wide_links(fps: DataFrame) -> DataFrame:
-    """(u, v): links between representatives of wide fingerprints that share an anchor and are near; ``fps`` has one row per fingerprint (f0, f1, ..., rep)."""
-    words = tuple(f"f{i}" for i in range(len(WIDE)))
+    """(u, v): links between the numbers of wide fingerprints that share an anchor and are near; ``fps`` has one row per fingerprint (f0, f1, ...)."""
+    words = [f"f{i}" for i in range(len(WIDE))]
     key = F.shiftleft(F.col("half").cast("long"), 32).bitwiseOR(F.col("anchor"))
-    met = anchors(fps, words).select("half", F.explode(F.concat(F.array("home"), F.col("more"))).alias("anchor"), "rep", *words).select(key.alias("key"), "rep", *words)
-    counted = met.groupBy("key").count().where(F.col("count") > BLOCK)
-    hot = checkpointed(counted.select(F.col("key").alias("hot"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+
+    def met(of: DataFrame) -> DataFrame:
+        near = anchors(of.withColumn("rep", F.lit(0)), tuple(words))
+        return near.select("half", F.explode(F.concat(F.array("home"), F.col("more"))).alias("anchor"), *words).select(key.alias("key"), *words)
+
+    # which anchors are dealt out is estimated, as it changes who compares what, but not what is found
+    some = met(fps.where(F.pmod(F.xxhash64(*words), F.lit(SAMPLED)) == 0)).groupBy("key").count().where(F.col("count") * SAMPLED > WIDE_BLOCK)
+    hot = checkpointed(some.select(F.col("key").alias("hot"), F.ceil(F.col("count") * SAMPLED / WIDE_BLOCK).cast("int").alias("blocks")))
     n_hot = hot.count()
+    rows = met(fps)
     if n_hot:  # a hot anchor's members are dealt out as pairs of blocks
-        joined = met.join(F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot, F.col("key") == F.col("hot"), "left")
-        own = F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int")
+        joined = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot, F.col("key") == F.col("hot"), "left")
+        own = F.pmod(F.xxhash64(*words), F.col("blocks")).cast("long")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))
-        met = joined.withColumn("salt", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-    else:
-        met = met.withColumn("salt", F.lit(0))
+        salted = joined.withColumn("salt", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
+        rows = salted.select(F.shiftleft("salt", 40).bitwiseOR(F.col("key")).alias("key"), *words)
     bounded_batches(fps.sparkSession)
-    return met.select("key", "salt", "rep", *words).repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").mapInArrow(_meet, "u long, v long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", *words).mapInArrow(_meet, "u long, v long").distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,10 +352,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *leaders.identity(F.col(text_col)))
     made = map_texts(texts, _wide_fingerprinter, ", ".join(f"{w} long" for w in words), "id", "text", ("t1", "t2"))
     kinds = checkpointed(made.groupBy("t1", "t2").agg(F.count("*").alias("rows"), F.min("id").alias("id"), *[F.min(w).alias(w) for w in words]))
-    # texts are nodes by a number of their own, as ids may be null or shared
-    fps = checkpointed(kinds.groupBy(*words).agg(F.min("t1").alias("rep"), F.count("*").alias("texts")))
+    fps = checkpointed(kinds.groupBy(*words).agg(F.count("*").alias("texts")))
     component = connected_components(wide_links(fps))
-    of = fps.join(component, F.col("rep") == F.col("node"), "left").select(*words, "texts", F.coalesce("component", "rep").alias("component"))
+    of = fps.join(component, node_of(words) == F.col("node"), "left").select(*words, "texts", F.coalesce(F.col("component"), node_of(words)).alias("component"))
     sums = of.groupBy("component").agg(F.sum("texts").alias("texts"))
     several = checkpointed(of.drop("texts").join(sums.where("texts > 1").select("component"), "component"))
     rivals = kinds.join(several, words).select("t1", "t2", "id", "component")

@@ -154,7 +154,8 @@ def test_near_copies_equal_brute_force(make_docs, draw, monkeypatch):
     want = brute_kept(range(len(texts)), texts)
     whole = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert whole == want
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", 16)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
     monkeypatch.setattr(simhash, "FEW", 4)
     monkeypatch.setattr(simhash.leaders, "FIRST", 2)
     monkeypatch.setattr(simhash.leaders, "PART_BYTES", 4000)
