@@ -1,27 +1,30 @@
-"""Which texts of a group go, by the similarity of the texts themselves.
-
-A group's texts are taken in the order of their ids. Each stays unless it is
-similar to one that stays already: the sets of their runs of ``SHINGLE`` words
-have a Jaccard similarity of ``SIMILARITY`` or more. This is worked out in rounds.
-The first texts of every group, a bounded number, are decided against each other
-in one task; those that stay are leaders, and all other texts of the group are
-held against them, in parts of bounded bytes, each in a task of its own. Texts
-that are like none of the leaders go on to the next round, where twice as many
-are decided. Groups of one leader end after the first round, and every round
-ends some texts of every group, so nothing is cut off and none is gathered whole.
+"""Which texts of a group stay, by the similarity of the texts themselves.
+
+A text stays unless it is similar to one that stays already: the sets of their
+runs of ``SHINGLE`` words have a Jaccard similarity of ``SIMILARITY`` or more. This is
+worked out in rounds. Of each group some ``FIRST`` texts, all of a smaller one, are
+decided against each other in one task, in the order of their ids; those that
+stay are leaders, and all other texts of the group are held against them, in
+parts of bounded bytes, each in a task of its own. Texts that are like none of
+the leaders go on to the next round, where four times as many are decided, up to
+``MOST``. Which texts of a large group are decided first is told by a hash, so no
+group is sorted or gathered whole. Every round decides some texts of every group,
+and none is cut off.
 
 Words are lower-cased at A-Z and end at ASCII white space. A text of fewer words
-is one run; two texts without a word are similar.
+is one run; two texts without a word are similar. Null texts read as empty, and
+null ids come last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import longtext
@@ -29,7 +32,7 @@ from marlstone.llm._common import bounded_batches, checkpointed
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts of a group that are decided in the first round, and the most in later ones.
+#: Texts of a group that are decided in the first round, about, and the most in later ones.
 FIRST, MOST = 32, 1024
 #: Bytes of texts that one task holds against a group's leaders.
 PART_BYTES = 16 << 20
@@ -60,8 +63,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _first(table: pa.Table) -> pa.Table:
-    """A group's first texts, in order: (t1, t2, component, text, stays)."""
-    table = table.sort_by("place")
+    """A group's first texts, in order: those that stay."""
+    table = table.sort_by([("id_null", "ascending"), ("id", "ascending"), ("t1", "ascending"), ("t2", "ascending")])
     leaders: list[np.ndarray] = []
     stays = []
     for text in table.column("text").to_pylist():
@@ -69,7 +72,7 @@ def _first(table: pa.Table) -> pa.Table:
         stays.append(not any(similar(own, x) for x in leaders))
         if stays[-1]:
             leaders.append(own)
-    return table.select(["t1", "t2", "component", "text"]).append_column("stays", pa.array(stays))
+    return table.filter(pa.array(stays)).select(["t1", "t2", "component", "parts", "text"])
 
 
 def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,32 +88,32 @@ def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 leaders.append(own)
             elif not any(similar(own, x) for x in leaders):
                 keep.append(i)
-        yield batch.take(pa.array(keep, pa.int32())).select(["t1", "t2"])
+        yield batch.take(pa.array(keep, pa.int32())).select(["t1", "t2", "id", "component", "text"])
 
 
-def dropped(rivals: DataFrame, texts: DataFrame) -> DataFrame:
-    """(t1, t2) of the texts that go; rivals: (t1, t2, id, component), a row for each text; texts: (id, text, t1, t2)."""
+def staying(rivals: DataFrame, texts: DataFrame) -> DataFrame:
+    """(t1, t2) of the texts that stay; rivals: (t1, t2, id, component), a row for each text; texts: (id, text, t1, t2)."""
     bounded_batches(rivals.sparkSession)
     # a text's rows are many where it has copies, so one row of each is picked before
     own = texts.join(rivals.hint("shuffle_hash").withColumnRenamed("id", "_id"), ["t1", "t2"]).where(F.col("id").eqNullSafe(F.col("_id")))
-    left = checkpointed(own.groupBy("t1", "t2", "component").agg(F.min("id").alias("id"), F.min("text").alias("text")))
-    place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("id").asc_nulls_last(), "t1", "t2"))
-    gone, most = [], FIRST
-    while left.head(1):
-        first = left.select("t1", "t2", "component", "id").withColumn("place", place).where(F.col("place") <= most).select("t1", "t2", "place")
-        decided = checkpointed(left.join(first, ["t1", "t2"]).select("t1", "t2", "component", "text", "place").groupBy("component").applyInArrow(_first, "t1 long, t2 long, component long, text string, stays boolean"))
-        gone.append(decided.where("not stays").select("t1", "t2"))
-        others = left.join(decided.select("t1", "t2"), ["t1", "t2"], "left_anti")
+    left = checkpointed(own.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.min("component").alias("component"), F.min("text").alias("text")))
+    kind = left.schema["id"].dataType.simpleString()
+    stays, most = [], FIRST
+    for turn in count():
+        bytes_ = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+        about = left.groupBy("component").agg((F.lit(float(most)) / F.count("*")).alias("share"), F.ceil((bytes_ + 1) / PART_BYTES).cast("int").alias("parts"))
+        place = F.pmod(F.xxhash64("t1", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
+        dealt = checkpointed(left.join(about, "component").withColumn("first", place < F.col("share")))
+        chosen = dealt.where("first").withColumn("id_null", F.col("id").isNull()).select("component", "parts", "t1", "t2", "id", "id_null", "text")
+        decided = checkpointed(chosen.groupBy("component").applyInArrow(_first, "t1 long, t2 long, component long, parts int, text string"))
+        stays.append(decided.select("t1", "t2"))
+        others = dealt.where("not first")
         if not others.head(1):
             break
-        size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-        parts = checkpointed(others.groupBy("component").agg(F.ceil((size + 1) / PART_BYTES).cast("int").alias("parts")))
-        columns = ["component", "part", "leads", "t1", "t2", "text"]
-        members = others.join(parts, "component").withColumns({"part": F.pmod(F.xxhash64("t1", "t2"), F.col("parts")).cast("int"), "leads": F.lit(False)})
-        leaders = decided.where("stays").join(parts, "component").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "leads": F.lit(True)})
+        columns = ["component", "part", "leads", "t1", "t2", "id", "text"]
+        members = others.withColumns({"part": F.pmod(F.xxhash64("t1", "t2"), F.col("parts")).cast("int"), "leads": F.lit(False)})
+        leaders = decided.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "leads": F.lit(True), "id": F.lit(None).cast(kind)})
         met = members.select(columns).unionByName(leaders.select(columns)).repartition("component", "part").sortWithinPartitions("component", "part", F.desc("leads"))
-        unlike = checkpointed(met.mapInArrow(_others, "t1 long, t2 long"))
-        gone.append(others.select("t1", "t2").join(unlike, ["t1", "t2"], "left_anti"))
-        left = checkpointed(others.join(unlike, ["t1", "t2"], "left_semi"))
-        most = min(2 * most, MOST)
-    return reduce(DataFrame.unionByName, gone) if gone else rivals.select("t1", "t2").where("false")
+        left = checkpointed(met.mapInArrow(_others, f"t1 long, t2 long, id {kind}, component long, text string"))
+        most = min(4 * most, MOST)
+    return reduce(DataFrame.unionByName, stays)

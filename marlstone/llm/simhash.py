@@ -262,8 +262,8 @@ def _wide_fingerprinter() -> Callable[[list[str]], list]:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches are sorted by (key, words): links that join what is near in each group.
 
-    A link of i and j is left out where i is near the one after it and that is
-    near j: what is nearer together in order joins them then.
+    A link of i and j is left out where one before both is near both: it joins
+    them then, by links of its own or of ones before it.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -275,17 +275,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.nonzero(new)[0]
         sizes = np.diff(np.append(starts, len(key)))
         size, nth = np.repeat(sizes, sizes), np.arange(len(key)) - np.repeat(starts, sizes)
-        found = []
-        next_, before = np.zeros(len(key) + 1, bool), np.zeros(len(key) + 1, bool)
+        found, pairs = [], []
+        lower = np.zeros(len(key), np.uint64)  # which of the group's earlier ones are near, by their places
         for step in range(1, min(FEW, int(sizes.max(initial=0)))):
             i = np.nonzero((size <= FEW) & (nth + step < size))[0]
-            near = np.zeros(len(key) + 1, bool)
-            near[i] = _apart([x[i] for x in fps], [x[i + step] for x in fps]) <= WIDE_DISTANCE
-            if step == 1:
-                next_ = near
-            i = np.nonzero(near[:-1] & ~(next_[:-1] & before[1:]))[0]
-            found.append((rep[i], rep[i + step]))
-            before = near
+            i = i[_apart([x[i] for x in fps], [x[i + step] for x in fps]) <= WIDE_DISTANCE]
+            lower[i + step] |= np.uint64(1) << nth[i].astype(np.uint64)
+            pairs.append((i, i + step))
+        for i, j in pairs:
+            new_ = (lower[i] & lower[j]) == 0
+            found.append((rep[i[new_]], rep[j[new_]]))
         for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
             own = [x[a : a + n] for x in fps]
             found += _forest(own, rep[a : a + n], own, rep[a : a + n], np.arange(n), WIDE_DISTANCE)
@@ -327,7 +326,7 @@ def wide_links(fps: DataFrame) -> DataFrame:
     some = met(fps.where(F.pmod(F.xxhash64(*words), F.lit(SAMPLED)) == 0)).groupBy("key").count().where(F.col("count") * SAMPLED > WIDE_BLOCK)
     hot = checkpointed(some.select(F.col("key").alias("hot"), F.ceil(F.col("count") * SAMPLED / WIDE_BLOCK).cast("int").alias("blocks")))
     n_hot = hot.count()
-    rows = met(fps)
+    rows = met(fps.repartition(2 * fps.sparkSession.sparkContext.defaultParallelism))  # each row becomes some seventy
     if n_hot:  # a hot anchor's members are dealt out as pairs of blocks
         joined = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot, F.col("key") == F.col("hot"), "left")
         own = F.pmod(F.xxhash64(*words), F.col("blocks")).cast("long")
@@ -343,10 +342,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Of rows with the same text the one with the smallest id stays; null ids come
     last, and of rows that also share the id the first in order of their JSON.
-    Of different texts, in the same order, each stays unless its set of
-    five-word runs has a Jaccard similarity of 0.8 or more to that of one that
-    stays before it in its group of candidates. So what goes has a near-copy that
-    stays, and no two that stay were found and are near-copies.
+    Of different texts each stays unless its set of five-word runs has a Jaccard
+    similarity of 0.8 or more to that of one that stays already of its group of
+    candidates, taken in the same order in groups of up to ``leaders.FIRST``. So
+    what goes has a near-copy that stays, and no two that stay are near-copies
+    that the search brought together.
     """
     words = [f"f{i}" for i in range(len(WIDE))]
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *leaders.identity(F.col(text_col)))
@@ -357,9 +357,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     of = fps.join(component, node_of(words) == F.col("node"), "left").select(*words, "texts", F.coalesce(F.col("component"), node_of(words)).alias("component"))
     sums = of.groupBy("component").agg(F.sum("texts").alias("texts"))
     several = checkpointed(of.drop("texts").join(sums.where("texts > 1").select("component"), "component"))
-    rivals = kinds.join(several, words).select("t1", "t2", "id", "component")
-    gone = leaders.dropped(rivals, texts)
-    stay = kinds.join(gone, ["t1", "t2"], "left_anti").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("id").alias("_id"), F.col("rows").alias("_rows"))
+    rivals = checkpointed(kinds.join(several, words).select("t1", "t2", "id", "component"))
+    alone = kinds.join(rivals.select("t1", "t2"), ["t1", "t2"], "left_anti").select("t1", "t2")
+    staying = alone.unionByName(leaders.staying(rivals, texts)).withColumn("stays", F.lit(True))
+    stay = kinds.join(staying, ["t1", "t2"]).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("id").alias("_id"), F.col("rows").alias("_rows"))
     stay = checkpointed(stay)
     t1, t2 = leaders.identity(F.col(text_col))
     row = F.struct(*[F.col(c) for c in df.columns])
