@@ -199,8 +199,14 @@ def cross_rank(x: Sig) -> Sig:
 
 
 WINDOWS = {"pad", "lag", "mean", "std", "sum", "max", "min", "skew", "kurt", "slope", "history_rank", "beta", "winsor", "pct_rank"}
-#: Raw values are quantised before they are compared across rows, so that ties do not hang on the order of summation.
-DIGITS = 8
+#: Raw values are quantised before they are compared across rows, so that ties do not hang on the order of summation:
+#: to so many significant digits, and to so many decimals where those are fewer.
+SIGNIFICANT, DECIMALS = 11, 12
+
+
+def quantised(x: Column) -> Column:
+    scale = F.pow(F.lit(10.0), SIGNIFICANT - 1 - F.floor(F.log10(F.greatest(F.abs(x), F.lit(10.0 ** (SIGNIFICANT - 1 - DECIMALS))))))
+    return F.floor(x * scale + 0.5) / scale
 
 
 class Lowering:
@@ -313,11 +319,11 @@ class Lowering:
                 w, y = self._rows(a[2]), self.column(a[1])
                 return F.when(F.count(x).over(w) >= a[3], F.try_divide(F.covar_samp(x, y).over(w), F.nullif(F.var_samp(y).over(w), F.lit(0.0))))
             case "winsor":
-                x = F.round(x, DIGITS)
+                x = quantised(x)
                 q = F.percentile(x, F.array(F.lit(a[1]), F.lit(a[2]))).over(Window.partitionBy(self.date))
-                return F.when(x.isNotNull(), F.round(F.least(F.greatest(x, q[0]), q[1]), DIGITS))
+                return F.when(x.isNotNull(), F.least(F.greatest(x, q[0]), q[1]))
             case "pct_rank":
-                x = F.round(x, DIGITS)
+                x = quantised(x)
                 w = Window.partitionBy(self.date, *a[1:]).orderBy(x.asc_nulls_last())
                 return average_rank(x, w) / F.count(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         raise ValueError(s.op)

@@ -6,7 +6,12 @@ written for that engine's own functions, independent of the Spark lowering.
 
 from __future__ import annotations
 
-from marlstone.functions.signal import DIGITS, Sig
+from marlstone.functions.signal import DECIMALS, SIGNIFICANT, Sig
+
+
+def quantised(x: str) -> str:
+    scale = f"pow(10, {SIGNIFICANT - 1} - floor(log10(greatest(abs({x}), {10.0 ** (SIGNIFICANT - 1 - DECIMALS)!r}::DOUBLE))))"
+    return f"(floor({x} * {scale} + 0.5) / {scale})"
 
 
 class SqlText:
@@ -108,11 +113,11 @@ class SqlText:
                 y, w = self.expr(a[1]), rows(a[2])
                 return f"CASE WHEN count({x}) OVER {w} >= {a[3]} THEN covar_samp({x}, {y}) OVER {w} / nullif(var_samp({y}) OVER {w}, 0) END"
             case "winsor":
-                r = f"round({x}, {DIGITS})"
+                r = quantised(x)
                 q = lambda p: f"quantile_cont({r}, {p}) OVER (PARTITION BY {self.date})"
-                return f"CASE WHEN {x} IS NOT NULL THEN round(least(greatest({r}, {q(a[1])}), {q(a[2])}), {DIGITS}) END"
+                return f"CASE WHEN {x} IS NOT NULL THEN least(greatest({r}, {q(a[1])}), {q(a[2])}) END"
             case "pct_rank":
-                r, keys = f"round({x}, {DIGITS})", ", ".join([self.date, *a[1:]])
+                r, keys = quantised(x), ", ".join([self.date, *a[1:]])
                 ties = f"count(*) OVER (PARTITION BY {keys}, {r})"
                 return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {keys} ORDER BY {r} NULLS LAST) + ({ties} - 1) / 2.0) / count({x}) OVER (PARTITION BY {keys}) END"
         raise ValueError(s.op)

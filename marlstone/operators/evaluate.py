@@ -19,7 +19,10 @@ def ic_series(factors: DataFrame, labels: DataFrame, method: str = "spearman", l
     """
     x = factors.where(F.col("value").isNotNull()).select("factor", "date", "code", F.col("value").alias("x"))
     y = labels.where(F.col("value").isNotNull()).select("target", "date", "code", F.col("value").alias("y"))
-    pairs = x.join(y, ["date", "code"])
+    return _coefficients(x.join(y, ["date", "code"]), method, least)
+
+
+def _coefficients(pairs: DataFrame, method: str, least: int) -> DataFrame:
     if method == "spearman":
         keys = ("factor", "target", "date")
         pairs = pairs.withColumn("x", average_rank(F.col("x"), Window.partitionBy(*keys).orderBy("x"))).withColumn("y", average_rank(F.col("y"), Window.partitionBy(*keys).orderBy("y")))
@@ -28,6 +31,14 @@ def ic_series(factors: DataFrame, labels: DataFrame, method: str = "spearman", l
     return pairs.groupBy("factor", "target", "date").agg(F.count("*").alias("pairs"), F.corr("x", "y").alias("ic")).where(F.col("pairs") >= least)
 
 
+def ic_of(values: DataFrame, factors: list[str], targets: list[str], method: str = "spearman", least: int = LEAST_PAIRS) -> DataFrame:
+    """The same of one table (factor, date, code, value) that holds factors and labels: read once, and paired within a key instead of joined."""
+    wide = values.groupBy("date", "code").pivot("factor", [*factors, *targets]).agg(F.max("value"))
+    pair = lambda f, t: F.struct(F.lit(f).alias("factor"), F.lit(t).alias("target"), F.col(f).alias("x"), F.col(t).alias("y"))
+    pairs = wide.select("date", "code", F.inline(F.array(*[pair(f, t) for f in factors for t in targets]))).where("x IS NOT NULL AND y IS NOT NULL")
+    return _coefficients(pairs, method, least)
+
+
 def ic_summary(series: DataFrame) -> DataFrame:
     """(factor, target, dates, mean, std, icir, positive_share, t_stat); dates without an ic do not count."""
     known = series.where(F.col("ic").isNotNull() & ~F.isnan("ic"))

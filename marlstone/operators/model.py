@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.signal import quantised
+
 MONEY = 1.5e9
 TOP = 500
 
@@ -26,11 +28,12 @@ def training_panel(factors: DataFrame, labels: DataFrame, names: list[str]) -> D
     dates, codes = labels.select("date").distinct(), labels.select("code").distinct()
     grid = dates.join(codes, F.lit(True), "inner")  # the grid is what is asked for
     wide = grid.join(training_matrix(factors, names), ["date", "code"], "left")
-    last_label = labels.agg(F.max("date").alias("_end"))
-    ends = factors.groupBy("factor").agg(F.max("date").alias("_at")).join(F.broadcast(last_label), F.lit(True)).where("_at < _end")
-    late = {r[0] for r in ends.select("factor").collect()}  # names of factors
+    # one row: does each factor end before the labels do?
+    ends = factors.agg(*[F.max(F.when(F.col("factor") == n, F.col("date"))).alias(f"_end_{n}") for n in names])
+    late = labels.agg(F.max("date").alias("_end")).join(ends, F.lit(True)).select(*[(F.col(f"_end_{n}") < F.col("_end")).alias(f"_late_{n}") for n in names])
     w = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    filled = wide.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in names if n in late})
+    marked = wide.join(F.broadcast(late), F.lit(True))
+    filled = marked.select("date", "code", *[F.when(F.col(f"_late_{n}"), F.last(n, ignorenulls=True).over(w)).otherwise(F.col(n)).alias(n) for n in names])
     return filled.where(F.coalesce(*[F.col(n) for n in names]).isNotNull())
 
 
@@ -40,7 +43,7 @@ def used_columns(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if (row[n] or 0) > 0]
 
 
-def winsor_zscore(df: DataFrame, names: list[str], lower: float = 0.005, upper: float = 0.995, least_share: float = 0.1, digits: int = 8) -> DataFrame:
+def winsor_zscore(df: DataFrame, names: list[str], lower: float = 0.005, upper: float = 0.995, least_share: float = 0.1) -> DataFrame:
     """(date, code, names): per date clipped to two quantiles and standardised; missing and undefined become zero.
 
     Rows with fewer than a tenth of their factors, one at least, are left out before.
@@ -50,7 +53,7 @@ def winsor_zscore(df: DataFrame, names: list[str], lower: float = 0.005, upper:
     w = Window.partitionBy("date")
     q = {f"_q{i}": F.percentile(F.col(n), F.array(F.lit(lower), F.lit(upper))).over(w) for i, n in enumerate(names)}
     rows = rows.withColumns(q)
-    rows = rows.withColumns({n: F.when(F.col(n).isNotNull(), F.round(F.least(F.greatest(F.col(n), F.col(f"_q{i}")[0]), F.col(f"_q{i}")[1]), digits)) for i, n in enumerate(names)}).drop(*q)
+    rows = rows.withColumns({n: F.when(F.col(n).isNotNull(), quantised(F.least(F.greatest(F.col(n), F.col(f"_q{i}")[0]), F.col(f"_q{i}")[1]))) for i, n in enumerate(names)}).drop(*q)
     z = lambda n: F.try_divide(F.col(n) - F.avg(n).over(w), F.nullif(F.stddev_samp(n).over(w), F.lit(0.0)))
     return rows.select("date", "code", *[F.coalesce(z(n), F.lit(0.0)).alias(n) for n in names])
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.factors import all_factors, get_factor
+from marlstone.functions.sqltext import quantised
 from marlstone.operators import evaluate, model, panels
 from marlstone.operators.asof import asof_panel
 from marlstone.operators.panels import date_key
+from marlstone.plans import store
 from marlstone.plans.build import build, compute
 from marlstone.sources import sample_sql as S
 from marlstone.sources.sample import SampleCatalog
@@ -45,9 +47,9 @@ SEASON, PERIOD = "1999q2", 2
 CUTOVER, OVERLAP = "2000-01-01", "1999-11-01"
 
 
-def _long(spark: SparkSession, sf_dir: str, names: tuple[str, ...], key: str) -> DataFrame:
-    each = [factor_query(n, spark, sf_dir).withColumn(key, F.lit(n)) for n in names]
-    return reduce(DataFrame.unionByName, each)
+def _long(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """(factor, date, code, value) of several factors in one pass."""
+    return _dated(build(SampleCatalog(spark, sf_dir), list(names)).select("factor", "date", "code", "value"))
 
 
 def _long_sql(names: tuple[str, ...], key: str) -> str:
@@ -68,7 +70,7 @@ def asof_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ic(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.ic_series(_long(spark, sf_dir, IC_FACTORS, "factor"), _long(spark, sf_dir, IC_TARGETS, "target"), method)
+    return evaluate.ic_of(_long(spark, sf_dir, IC_FACTORS + IC_TARGETS), list(IC_FACTORS), list(IC_TARGETS), method)
 
 
 def ic_series_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +111,8 @@ def topk_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = [factor_query(n, spark, sf_dir).where("value IS NOT NULL").withColumn("fold", F.lit(i)) for i, n in enumerate(IC_FACTORS, 1)]
-    return _rounded(model.fold_ensemble(reduce(DataFrame.unionByName, folds), len(folds)), "value")
+    folds = _long(spark, sf_dir, IC_FACTORS).where("value IS NOT NULL").withColumnRenamed("factor", "fold")
+    return _rounded(model.fold_ensemble(folds, len(IC_FACTORS)), "value")
 
 
 def season_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,12 +186,12 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.training_matrix(_long(spark, sf_dir, IC_FACTORS, "factor"), list(IC_FACTORS))
+    return model.training_matrix(_long(spark, sf_dir, IC_FACTORS), list(IC_FACTORS))
 
 
 def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With one factor that ends early, and so is carried forward."""
-    factors = _long(spark, sf_dir, IC_FACTORS, "factor").where("factor <> 'reversal_5' OR date < '20010101'")
+    factors = _long(spark, sf_dir, IC_FACTORS).where("factor <> 'reversal_5' OR date < '20010101'")
     return model.training_panel(factors, factor_query("label_ret_5d", spark, sf_dir), list(IC_FACTORS))
 
 
@@ -199,9 +201,10 @@ def fused_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates by codes, as factor files are exchanged, of the ten codes that every scale has."""
-    wide = factor_query("bp", spark, sf_dir).groupBy("date").pivot("code", list(range(10))).agg(F.max("value"))
-    return wide.select("date", *[F.col(str(c)).alias(f"c{c}") for c in range(10)])
+    """Dates by codes, as factor files are exchanged, of all codes; and back to a row for each cell that is filled, as columns that depend on the data cannot be held against SQL."""
+    values = factor_query("bp", spark, sf_dir)
+    codes = [r[0] for r in values.select("code").distinct().orderBy("code").collect()]  # the columns of the file, a universe of some thousand codes
+    return store.from_wide(store.to_wide(values, codes))
 
 
 def unscored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +242,7 @@ def operator_oracles() -> dict[str, str]:
 
     known = " + ".join(f"CAST({n} IS NOT NULL AS INTEGER)" for n in ZSCORED)
     q = lambda n, p: f"quantile_cont({n}, {p}) OVER (PARTITION BY date)"
-    clipped = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN round(least(greatest({n}, {q(n, 0.005)}), {q(n, 0.995)}), 8) END AS {n}" for n in ZSCORED)
+    clipped = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN {quantised(f'least(greatest({n}, {q(n, 0.005)}), {q(n, 0.995)})')} END AS {n}" for n in ZSCORED)
     z = ", ".join(f"round(coalesce(({n} - avg({n}) OVER d) / nullif(stddev_samp({n}) OVER d, 0), 0), 8) AS {n}" for n in ZSCORED)
 
     scored = (
@@ -267,7 +270,6 @@ def operator_oracles() -> dict[str, str]:
     cut = f"SELECT * FROM ({_long_sql(IC_FACTORS, 'factor')}) WHERE factor <> 'reversal_5' OR date < '20010101'"
     grid = f"SELECT * FROM (SELECT DISTINCT date FROM ({of('label_ret_5d')})) CROSS JOIN (SELECT DISTINCT code FROM ({of('label_ret_5d')}))"
     fill = ", ".join(n if n != "reversal_5" else f"last_value({n} IGNORE NULLS) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING) AS {n}" for n in IC_FACTORS)
-    export = ", ".join(f"max(value) FILTER (WHERE code = {c}) AS c{c}" for c in range(10))
     return {
         "asof_quality": f"SELECT {key}, code, roe, q_eps, gross_margin FROM ({S.panel('financial_indicator', ['roe', 'q_eps', 'gross_margin'])})",
         "ic_series_rank": series(spearman),
@@ -324,6 +326,6 @@ def operator_oracles() -> dict[str, str]:
             f"WHERE coalesce({', '.join(IC_FACTORS)}) IS NOT NULL"
         ),
         "fused_build": _long_sql(FUSED, "factor"),
-        "wide_export": f"SELECT date, {export} FROM ({of('bp')}) GROUP BY date",
+        "wide_export": f"SELECT date, CAST(code AS VARCHAR) AS code, value FROM ({of('bp')}) WHERE value IS NOT NULL",
         "unscored_dates": f"SELECT DISTINCT {key} FROM ({bars}) WHERE strftime(date, '%Y%m%d') > (SELECT max(date) FROM ({of('label_ret_20d')}))",
     }
