@@ -101,6 +101,15 @@ def freshness(tables: dict[str, DataFrame], end: Column, date: str = "date") ->
     return reduce(DataFrame.unionByName, each).withColumn("status", status)
 
 
+def manifests(values: DataFrame, value: str = "value", key: str = "factor") -> DataFrame:
+    """The same for every signal of a long table: a row for each key."""
+    days = values.groupBy(key, "date").agg(F.count(value).alias("n"))
+    last = days.groupBy(F.col(key).alias("_key")).agg(F.max("date").alias("last_date"), F.max_by("n", "date").alias("last_day_codes"), F.count("*").alias("rows"), F.sum("n").alias("non_null_cells"))
+    cols = values.groupBy(key).agg(F.countDistinct("code").alias("cols"))
+    joined = cols.join(last, F.col(key) == F.col("_key")).drop("_key")
+    return joined.withColumn("coverage_ratio", F.try_divide(F.col("non_null_cells"), F.col("rows") * F.col("cols")))
+
+
 def manifest(values: DataFrame, value: str = "value") -> DataFrame:
     """One row about a signal: dates, codes, values, their share of the grid, the last date and its values."""
     last = values.groupBy("date").agg(F.count(value).alias("n")).agg(F.max("date").alias("last_date"), F.max_by("n", "date").alias("last_day_codes"))

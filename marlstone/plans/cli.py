@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import json
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlstone.factors import all_factors, ordered_names
-from marlstone.plans.run import plan, run
+from marlstone.plans.run import plan, run, run_each, slowest
 from marlstone.plans.store import FactorStore
 from marlstone.sources.catalog import ParquetCatalog
+from marlstone.sources.feather import write_factors
+from marlstone.sources.files import Folder
 from marlstone.sources.tables import load_pool
 
 
@@ -26,6 +31,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source", default="data/source", help="folder of source tables")
     p.add_argument("--store", default="data/factors", help="folder of factor values")
     p.add_argument("--pool", help="text file of codes")
+    p.add_argument("--wide", help="folder that gets a wide file for each factor built")
+    p.add_argument("--manifest", help="file that gets the manifests of the factors built, one JSON object a line")
+    p.add_argument("--timing", action="store_true", help="build one by one and show the slowest")
     return p
 
 
@@ -55,8 +63,23 @@ def main(argv: list[str] | None = None) -> int:
         for n, d in plan(catalog, store, chosen(args), dt.datetime.now(), args.force).items():
             print(f"{n}\t{d.action}\t{d.reason}")
         return 0
+    if args.timing:
+        for n, seconds in slowest(run_each(catalog, store, chosen(args), dt.datetime.now(), args.force)):
+            print(f"{n}\t{seconds:.1f} s")
+        return export(args, store)
     for n, action in run(catalog, store, chosen(args), dt.datetime.now(), args.force).items():
         print(f"{n}\t{action}")
+    return export(args, store)
+
+
+def export(args: argparse.Namespace, store: FactorStore) -> int:
+    """The files that were asked for beside the store."""
+    built = [n for n in chosen(args) if store.info(n) is not None]
+    if args.wide and built:
+        write_factors(reduce(DataFrame.unionByName, [store.load(n).select(F.lit(n).alias("factor"), "date", "code", "value") for n in built]), args.wide)
+    if args.manifest:
+        folder, _, name = args.manifest.rpartition("/")
+        Folder(store.spark, folder or ".").write(name, "".join(json.dumps(store.info(n)) + "\n" for n in built).encode())
     return 0
 
 

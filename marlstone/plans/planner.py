@@ -57,6 +57,11 @@ def source_dates(tables: dict[str, DataFrame]) -> dict[str, dt.date | None]:
     return out
 
 
+def lag_days(spec: FactorSpec, days_per_row: float = 1.6) -> int:
+    """Days before the first new date whose values may change too: those of labels that looked ahead to it."""
+    return int(spec.trim * days_per_row) + 10 if spec.trim else 0
+
+
 def scan_start(spec: FactorSpec, start: dt.date, days_per_row: float = 1.6) -> dt.date | None:
     """From which date inputs are read to have a factor right from ``start``; None: from the first."""
     rows = spec.lookback

@@ -8,7 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.factors import all_factors, get_factor
+from marlstone import source_queries
+from marlstone.factors import all_factors, get_factor, ordered_names
 from marlstone.functions.sqltext import quantised
 from marlstone.operators import evaluate, model, panels
 from marlstone.operators.asof import asof_panel
@@ -18,7 +19,7 @@ from marlstone.plans.build import build, compute
 from marlstone.sources import sample_sql as S
 from marlstone.sources.sample import SampleCatalog
 from marlstone.sources.sample_sql import factor_sql
-from marlstone.streaming.upserts import stream_upsert
+from marlstone.streaming.upserts import shared_folder, stream_upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +41,8 @@ def factor_oracles() -> dict[str, str]:
 
 IC_FACTORS = ("mom_20", "reversal_5", "volatility_20", "volume_ratio_20")
 IC_TARGETS = ("label_ret_1d", "label_ret_5d")
-FUSED = ("mom_5", "mom_20", "bias_20", "volatility_20", "rsi_14", "max_drawdown_60", "amplitude_20", "ret_skew_20", "bp", "pe_ttm", "dv_composite", "label_ret_5d")
+#: All factors and labels of the two largest panels.
+FUSED = tuple(n for n in ordered_names() if get_factor(n).panel in ("daily_adj", "finance"))
 ZSCORED = ("pb", "ps_ttm", "turnover_rate", "dv_ttm")
 MONEY, TOP = 3e8, 40
 SEASON, PERIOD = "1999q2", 2
@@ -136,9 +138,17 @@ def upsert_whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_upsert_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert by a stream: every micro-batch of rows is merged by key into the stored table."""
-    day = F.col("ts").cast("date").alias("day")
-    out = stream_upsert(spark, f"{sf_dir}/events.parq*", ["day", "user_id"], lambda df: df.groupBy(day, "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event")))
+    """Upsert by a stream of files, a batch each: every micro-batch's counts are added by key to the stored table's.
+
+    The stream is started anew for the second half of the files, as after a failure.
+    """
+    day, keys = F.col("ts").cast("date").alias("day"), ["day", "user_id"]
+    counts = lambda df: df.groupBy(day, "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+    add = lambda stored, new: stored.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("last_event").alias("last_event"))
+    root, events = shared_folder(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
+    for half in (0, 1):
+        events.where(F.pmod(F.col("event_id"), F.lit(2)) == half).repartition(2).write.mode("append").parquet(f"{root}/files")
+        out = stream_upsert(spark, f"{root}/files", keys, counts, add, folder=root, files_per_batch=1)
     return out.withColumn("day", date_key(F.col("day")))
 
 
@@ -220,7 +230,7 @@ OPERATORS = (
 
 
 def operator_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in OPERATORS} | source_queries.queries()
 
 
 def operator_oracles() -> dict[str, str]:
@@ -327,5 +337,6 @@ def operator_oracles() -> dict[str, str]:
         ),
         "fused_build": _long_sql(FUSED, "factor"),
         "wide_export": f"SELECT date, CAST(code AS VARCHAR) AS code, value FROM ({of('bp')}) WHERE value IS NOT NULL",
+        **source_queries.oracles(),
         "unscored_dates": f"SELECT DISTINCT {key} FROM ({bars}) WHERE strftime(date, '%Y%m%d') > (SELECT max(date) FROM ({of('label_ret_20d')}))",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ REPORT_COLUMNS = {
     "holder_number": ["holder_num"],
     "pledge_stat": ["pledge_ratio"],
 }
+#: The columns of event tables that factors use.
 EVENT_COLUMNS = {
     "top_list": "net_rate amount_rate l_buy l_sell turnover_rate".split(),
     "limit_up": "consecutive_days sealed_flow_ratio open_count sealed_amount".split(),
@@ -50,6 +52,10 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         raise NotImplementedError
 
+    def since(self, start: dt.date | None) -> Catalog:
+        """The same, of which dates before ``start`` need not be read; here all are."""
+        return self
+
     def panel(self, name: str) -> DataFrame:
         if name not in self._made:
             self._made[name] = self._make(name)
@@ -113,9 +119,13 @@ class Catalog:
 class ParquetCatalog(Catalog):
     """Source tables as Parquet files under ``root``, codes of the pool if one is given."""
 
-    def __init__(self, spark: SparkSession, root: str, pool: DataFrame | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, pool: DataFrame | None = None, start: dt.date | None = None) -> None:
         super().__init__()
-        self.spark, self.root, self.pool = spark, root, pool
+        self.spark, self.root, self.pool, self.start = spark, root, pool, start
+
+    def since(self, start: dt.date | None) -> ParquetCatalog:
+        """Daily panels are read from ``start`` on; reports and dimensions, which are small and carried forward, whole."""
+        return ParquetCatalog(self.spark, self.root, self.pool, start)
 
     def table(self, name: str) -> DataFrame:
         from marlstone.operators.panels import normalise_code, parse_date
@@ -131,4 +141,4 @@ class ParquetCatalog(Catalog):
             if "date" in df.columns and df.schema["date"].dataType.typeName() == "string":
                 df = df.withColumn("date", parse_date(F.col("date")))
             return df
-        return load_panel(self.spark, self.root, name, pool=self.pool)
+        return load_panel(self.spark, self.root, name, self.start, pool=self.pool)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.panels import upsert
+from marlstone.sources.files import Folder
 
 #: What an increment's file name ends with, and the column of dates.
 INCREMENT = "_incr"
@@ -46,3 +47,25 @@ def read_factors(spark: SparkSession, path: str) -> DataFrame:
     rows = files.mapInArrow(parse, "factor string, date string, code string, value double, late boolean")
     base, late = (rows.where(F.col("late") == x).drop("late") for x in (False, True))
     return upsert(base, late, ["factor", "date", "code"])
+
+
+def wide_files(values: DataFrame) -> DataFrame:
+    """(factor, content): the Feather file, dates by codes, of each factor of (factor, date, code, value); a task for each."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        wide = table.to_pandas().pivot_table(index="date", columns="code", values="value", aggfunc="max", dropna=False).sort_index()
+        wide.columns = [str(c) for c in wide.columns]
+        out = io.BytesIO()
+        feather.write_feather(wide.rename_axis("Date").reset_index(), out)
+        return pa.table({"factor": pa.array([table.column("factor")[0].as_py()], pa.string()), "content": pa.array([out.getvalue()], pa.binary())})
+
+    return values.select("factor", F.col("date").cast("string").alias("date"), F.col("code").cast("string").alias("code"), "value").groupBy("factor").applyInArrow(pack, "factor string, content binary")
+
+
+def write_factors(values: DataFrame, path: str, increment: bool = False) -> list[str]:
+    """Write a file for each factor; their names. One file at a time passes through the driver."""
+    folder, names = Folder(values.sparkSession, path), []
+    for row in wide_files(values).toLocalIterator():
+        names.append(f"{row.factor}{INCREMENT if increment else ''}.feather")
+        folder.write(names[-1], bytes(row.content))
+    return sorted(names)

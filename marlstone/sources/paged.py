@@ -1,15 +1,24 @@
-"""A paged HTTP source as a Spark data source: date ranges are partitions, pages are read within them.
+"""A paged HTTP source as a Spark data source: periods or codes are partitions, pages are read within them.
 
 ``spark.dataSource.register(PagedSource)``, then
 ``spark.read.format("paged").options(fetch="module:function", start=..., end=..., months=...).schema(...).load()``.
 ``fetch(start, end, page, size)`` returns the rows of a page as dicts; it is
 named, so that each executor imports it. A range whose rows exceed
-``range_limit`` is halved.
+``range_rows`` is halved, unless ``split`` is false.
+
+``by`` tells the partitions: ``months`` (the default), ``days`` (those of the
+option ``dates``, as the open days of a calendar), ``quarters`` (their last days),
+``codes`` (those of the option ``codes``, each over the whole span; ``fetch`` gets
+``code=`` too) or ``once`` (a snapshot; start and end may be left out).
+
+``per_minute`` bounds the requests of all partitions together: each gets an equal
+share, by the number that may run at once (``concurrency``; else all of them).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import importlib
 import threading
 import time
@@ -76,7 +85,7 @@ def quarter_ends(start: dt.date, end: dt.date) -> list[dt.date]:
     return [d for d in days if start <= d <= end]
 
 
-def read_range(fetch: Callable[..., list[dict]], start: dt.date, end: dt.date, bucket: TokenBucket, page_rows: int = PAGE_ROWS, range_rows: int = RANGE_ROWS) -> Iterator[dict]:
+def read_range(fetch: Callable[..., list[dict]], start: dt.date | None, end: dt.date | None, bucket: TokenBucket, page_rows: int = PAGE_ROWS, range_rows: int | None = RANGE_ROWS) -> Iterator[dict]:
     """All rows of a range, page by page; too large a range in halves."""
     rows: list[dict] = []
     page = 1
@@ -87,7 +96,7 @@ def read_range(fetch: Callable[..., list[dict]], start: dt.date, end: dt.date, b
         if len(got) < page_rows:
             yield from rows
             return
-        if len(rows) >= range_rows and start < end:
+        if range_rows is not None and start is not None and len(rows) >= range_rows and start < end:
             middle = start + (end - start) // 2
             yield from read_range(fetch, start, middle, bucket, page_rows, range_rows)
             yield from read_range(fetch, middle + dt.timedelta(days=1), end, bucket, page_rows, range_rows)
@@ -96,9 +105,9 @@ def read_range(fetch: Callable[..., list[dict]], start: dt.date, end: dt.date, b
 
 
 class Range(InputPartition):
-    def __init__(self, start: dt.date, end: dt.date) -> None:
-        super().__init__((start, end))
-        self.start, self.end = start, end
+    def __init__(self, start: dt.date | None, end: dt.date | None, code: str | None = None, per_minute: float = PER_MINUTE) -> None:
+        super().__init__((start, end, code))
+        self.start, self.end, self.code, self.per_minute = start, end, code, per_minute
 
 
 class PagedReader(DataSourceReader):
@@ -107,14 +116,35 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         o = self.options
-        ranges = month_ranges(dt.date.fromisoformat(o["start"]), dt.date.fromisoformat(o["end"]), int(o.get("months", 1)))
-        return [Range(a, b) for a, b in ranges]
+        day = lambda k: dt.date.fromisoformat(o[k]) if o.get(k) else None
+        start, end, by = day("start"), day("end"), o.get("by", "months")
+        listed = lambda k: [x.strip() for x in o.get(k, "").split(",") if x.strip()]
+        if by == "months":
+            spans = [(a, b, None) for a, b in month_ranges(start, end, int(o.get("months", 1)))]
+        elif by == "days":
+            days = sorted(map(dt.date.fromisoformat, listed("dates")))
+            spans = [(d, d, None) for d in days if (start is None or d >= start) and (end is None or d <= end)]
+        elif by == "quarters":
+            spans = [(d, d, None) for d in quarter_ends(start, end)]
+        elif by == "codes":
+            spans = [(start, end, c) for c in listed("codes")]
+        elif by == "once":
+            spans = [(start, end, None)]
+        else:
+            raise ValueError(f"by {by!r}: months, days, quarters, codes or once")
+        at_once = max(1, min(len(spans), int(o.get("concurrency", len(spans) or 1))))
+        share = float(o.get("per_minute", PER_MINUTE)) / at_once
+        return [Range(*s, share) for s in spans]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        bucket = TokenBucket(float(self.options.get("per_minute", PER_MINUTE)))
+        if partition.code is not None:
+            fetch = functools.partial(fetch, code=partition.code)
+        bucket = TokenBucket(partition.per_minute)
         page_rows, range_rows = int(self.options.get("page_rows", PAGE_ROWS)), int(self.options.get("range_rows", RANGE_ROWS))
+        if self.options.get("split", "true").lower() == "false":
+            range_rows = None
         for row in read_range(fetch, partition.start, partition.end, bucket, page_rows, range_rows):
             yield tuple(row.get(n) for n in self.names)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.panels import date_slice, in_pool, nan_to_null, normalise_code, normalise_panel, parse_date
@@ -68,10 +69,29 @@ def clean_codes(df: DataFrame, code: str = "stock_code") -> DataFrame:
     return df.where(F.col(code).rlike(CODE_PATTERN))
 
 
-def load_panel(spark: SparkSession, root: str, name: str, start: Column | None = None, end: Column | None = None, pool: DataFrame | None = None, lookback_days: int = 0) -> DataFrame:
+def stored_between(df: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:
+    """``df`` without most rows outside the dates, by filters on the stored column, which reach the scan.
+
+    Dates as text are YYYY-MM-DD or YYYYMMDD; the first sort before the second of
+    the same year, so the bounds are wide enough for both.
+    """
+    column = next((c for c in ("trade_date", "date", "Date") if c in df.columns), None)
+    if column is None:
+        return df
+    text = df.schema[column].dataType.typeName() == "string"
+    if start is not None:
+        df = df.where(F.col(column) >= F.lit(start.isoformat() if text else start))
+    if end is not None:
+        after = end + dt.timedelta(days=1)
+        df = df.where((F.col(column) <= f"{end:%Y%m%d}") if text else (F.col(column) < F.lit(after)))
+    return df
+
+
+def load_panel(spark: SparkSession, root: str, name: str, start: dt.date | None = None, end: dt.date | None = None, pool: DataFrame | None = None, lookback_days: int = 0) -> DataFrame:
     """(date, code, measures) with keys in one form, from ``lookback_days`` before ``start`` to ``end``, codes of the pool."""
-    df = normalise_panel(spark.read.parquet(f"{root}/{name}.parquet"))
-    df = date_slice(df, start, end, lookback_days)
+    start = start - dt.timedelta(days=lookback_days) if start is not None else None
+    df = normalise_panel(stored_between(spark.read.parquet(f"{root}/{name}.parquet"), start, end))
+    df = date_slice(df, F.lit(start) if start is not None else None, F.lit(end) if end is not None else None)
     return df if pool is None else in_pool(df, pool)
 
 

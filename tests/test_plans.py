@@ -9,6 +9,7 @@ from marlstone.functions import signal as S
 from marlstone.plans import cli, ingest, planner
 from marlstone.plans.build import build, compute
 from marlstone.plans.run import plan, run
+from marlstone.plans.run import slowest
 from marlstone.plans.store import FactorStore, check_contract, from_wide, to_wide
 from marlstone.sources.catalog import ParquetCatalog
 from marlstone.sources.sample import SampleCatalog
@@ -106,6 +107,47 @@ def test_store_plan_and_incremental_run(spark, source):
         store.load("bp")
 
 
+def test_incremental_run_reads_from_where_windows_reach(spark, source):
+    src, bars, tmp = source
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    catalog = ParquetCatalog(spark, src).since(dt.date(2024, 1, 15))
+    assert "GreaterThanOrEqual(trade_date,2024-01-15)" in plan_of(build(catalog, ["amplitude_20"]))
+    assert catalog.panel("daily_adj").count() == 14 * 12
+
+
+def test_many_factors_are_stored_in_one_write(spark, source):
+    src, _, tmp = source
+    catalog, store = ParquetCatalog(spark, src), FactorStore(spark, tmp + "/many")
+    names = ["mom_5", "bias_20", "label_ret_1d"]
+    store.write_all(build(catalog, names), names)
+    for n in names:
+        assert sorted(map(tuple, store.load(n).collect()), key=str) == sorted(map(tuple, compute(catalog, n).collect()), key=str)
+        assert store.info(n)["version"] == 1 and store.info(n)["cols"] == 12
+    again = store.write("mom_5", store.load("mom_5"))
+    assert {k: again[k] for k in ("rows", "cols", "non_null_cells", "last_date")} == {k: store.info("mom_5")[k] for k in ("rows", "cols", "non_null_cells", "last_date")}
+    assert again["version"] == 2
+    assert slowest({"a": 1.0, "b": 3.0, "c": 2.0}, 2) == [("b", 3.0), ("c", 2.0)]
+
+
+def test_one_pass_for_evaluation(spark):
+    from marlstone import queries
+
+    text = queries.ic_matrix(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 1
+
+
+def test_command_line_writes_files(spark, source, capsys):
+    import json
+
+    src, _, tmp = source
+    assert cli.main(["--factor", "mom_5", "--source", src, "--store", tmp + "/s", "--wide", tmp + "/wide", "--manifest", tmp + "/out/manifest.json", "--timing"]) == 0
+    assert "mom_5" in capsys.readouterr().out
+    from marlstone.sources.feather import read_factors
+
+    assert read_factors(spark, tmp + "/wide/*.feather").count() == FactorStore(spark, tmp + "/s").load("mom_5").where("value IS NOT NULL").count()
+    assert json.loads(open(tmp + "/out/manifest.json").read())["name"] == "mom_5"
+
+
 def test_contract_and_wide_forms(spark):
     values = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (2, "a", 3.0)], "date int, code string, value double")
     check_contract(values)

@@ -20,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted({*FIRST.values(), *[f.__name__ for f in queries.OPERATORS]}))
+@pytest.mark.parametrize("name", sorted({*FIRST.values(), *queries.operator_queries()}))
 def test_query_equals_sql(spark, con, name):
     got = __spark_entry__.queries()[name](spark, SF).toPandas()
     want = con.execute(__spark_entry__.oracle_sql()[name]).fetchdf()
@@ -38,6 +38,6 @@ def test_query_equals_sql(spark, con, name):
 def test_registry_is_whole(spark):
     names = set(__spark_entry__.queries())
     assert set(all_factors()) <= names
-    assert set(all_factors()) | {f.__name__ for f in queries.OPERATORS} <= set(__spark_entry__.oracle_sql()) <= names
+    assert set(all_factors()) | set(queries.operator_queries()) <= set(__spark_entry__.oracle_sql()) <= names
     out = __spark_entry__.entry(spark)
     assert out.columns == ["date", "code", "value"] and out.count() > 0

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.sources import paged, tables
 from marlstone.streaming.upserts import KeyedTable, stream_upsert
@@ -65,10 +66,12 @@ def test_tables_from_files(spark, tmp_path):
     pool = tables.load_pool(spark, str(tmp_path / "pool.txt"))
     got = tables.load_panel(spark, str(tmp_path), "margin_detail", pool=pool)
     assert sorted(r.code for r in got.collect()) == ["000001", "600000"]
-    from pyspark.sql import functions as F
-
-    late = tables.load_panel(spark, str(tmp_path), "margin_detail", start=F.lit("2024-01-07").cast("date"), lookback_days=2)
+    late = tables.load_panel(spark, str(tmp_path), "margin_detail", start=D(2024, 1, 7), lookback_days=2)
     assert sorted(r.date.day for r in late.collect()) == [5, 9]
+    assert "GreaterThanOrEqual(trade_date,2024-01-05)" in late._jdf.queryExecution().executedPlan().toString()
+    both = spark.createDataFrame([("20240104",), ("20240105",), ("2024-01-04",), ("2024-01-05",), ("20240110",), ("2024-01-11",)], "trade_date string")
+    kept = {r[0] for r in tables.stored_between(both, D(2024, 1, 5), D(2024, 1, 10)).collect()}
+    assert {"20240105", "2024-01-05", "20240110"} <= kept  # wide enough for both forms
     assert tables.max_date(df, "trade_date").first()[0] == "2024-01-05"
     assert tables.clean_codes(df.withColumn("stock_code", F.lit("600000.SH"))).count() == 3
     assert tables.clean_codes(df).count() == 1
@@ -96,6 +99,49 @@ def test_stream_upsert_is_by_key_and_repeatable(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [("a", 6), ("c", 1)]
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Two batches of one key, the second by a new table and a new stream, as after a failure: nothing is lost or counted twice."""
+
+    src, count = tmp_path / "in", lambda df: df.groupBy("k").agg(F.count("*").alias("n"))
+    add = lambda a, b: a.unionByName(b).groupBy("k").agg(F.sum("n").alias("n"))
+    for i, rows in enumerate(([("a",), ("b",)], [("a",), ("c",)])):
+        spark.createDataFrame(rows, "k string").coalesce(1).write.mode("append").parquet(str(src))
+        out = stream_upsert(spark, str(src), ["k"], count, add, folder=str(tmp_path / "t"))
+        assert len(KeyedTable(spark, str(tmp_path / "t" / "table"), ["k"]).versions.numbers()) == i + 1
+    assert sorted(map(tuple, out.collect())) == [("a", 2), ("b", 1), ("c", 1)]
+    again = KeyedTable(spark, str(tmp_path / "t" / "table"), ["k"], add)
+    again.merge(count(spark.createDataFrame([("a",), ("c",)], "k string")), 1)  # a batch that is run again
+    assert sorted(map(tuple, again.read().collect())) == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_versions_are_whole_or_not_there(spark, tmp_path):
+    from marlstone.sources.files import Folder, Versions
+
+    folder = Folder(spark, str(tmp_path / "f"))
+    versions = Versions(folder)
+    assert versions.current() is None
+    for n in (1, 2, 3):
+        spark.range(n).write.parquet(versions.place(n))
+        versions.name(n, {"n": n})
+    spark.range(9).write.parquet(versions.place(4))  # a run that failed before it named its version
+    assert versions.current() == {"n": 3} and spark.read.parquet(versions.place(3)).count() == 3
+    assert versions.numbers() == [2, 3] and not folder.exists("v1")
+
+
+def test_requests_of_all_partitions_share_one_limit():
+    from pyspark.sql.types import StructType
+
+    of = lambda **o: paged.PagedReader(StructType(), {"fetch": "x:y", **o}).partitions()
+    for o in ({"start": "2024-01-01", "end": "2024-06-30"}, {"by": "codes", "codes": "a, b,c", "start": "2024-01-01", "end": "2024-01-02"}, {"by": "quarters", "start": "2023-01-01", "end": "2023-12-31"}):
+        parts = of(**o)
+        assert abs(sum(p.per_minute for p in parts) - paged.PER_MINUTE) < 1e-9
+    assert [p.per_minute for p in of(by="codes", codes="a,b,c,d", concurrency="2")] == [140] * 4
+    assert [(p.start, p.end) for p in of(by="days", dates="2024-01-02,2024-01-04", start="2024-01-03")] == [(D(2024, 1, 4), D(2024, 1, 4))]
+    assert [(p.start, p.code) for p in of(by="once")] == [(None, None)]
+    with pytest.raises(ValueError):
+        of(by="weeks")
+
+
 def test_feather_files_base_and_increment(spark, tmp_path):
     import pandas as pd
 
