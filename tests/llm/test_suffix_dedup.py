@@ -126,3 +126,51 @@ def test_query_equals_brute_force_on_the_table(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op9_suffix_dedup"](spark, SF).collect()}
     for d, w in zip(docs.doc_id, brute([t.encode() for t in docs.text], S.WIDTH), strict=True):
         assert got[d] == w
+
+
+def rolling(raws, width):
+    """Bytes covered by repeated windows, by rolling hashes of all windows at once."""
+    sizes = np.array([len(r) for r in raws])
+    x = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
+    ends, total, odd = np.cumsum(sizes), int(sizes.sum()), 0x9E3779B97F4A7C15
+    power, hashes, at, made = 1, x, 0, np.zeros(total - width + 1, np.uint64)
+    while power <= width:  # a window is made of stretches of powers of two
+        if width & power:
+            made = made * np.uint64(pow(odd, power, 1 << 64)) + hashes[at : at + len(made)]
+            at += power
+        hashes = hashes[:-power] * np.uint64(pow(odd, power, 1 << 64)) + hashes[power:]
+        power *= 2
+    text = np.searchsorted(ends, np.arange(len(made)), side="right")
+    whole = np.nonzero(np.arange(len(made)) + width <= ends[text])[0]
+    _, back, times = np.unique(made[whole], return_inverse=True, return_counts=True)
+    starts = whole[times[back] > 1]
+    edge = np.zeros(total + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + width, -1)
+    return np.cumsum(edge)[:-1] > 0, ends - sizes, ends
+
+
+def test_query_equals_rolling_hashes_on_the_large_table(spark):
+    large = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{large}/documents.parquet").toPandas()
+    raws = [(t or "").encode() for t in docs.text]
+    gone, starts, ends = rolling(raws, S.WIDTH)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.QUERIES["op9_suffix_dedup"](spark, large).collect()}
+    for i, raw, a, b in zip(docs.doc_id, raws, starts.tolist(), ends.tolist(), strict=True):
+        own = gone[a:b]
+        kept = np.frombuffer(raw, np.uint8)[~own].tobytes()
+        assert got[i] == (int(own.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_many_passages_longer_than_what_is_sorted():
+    """Shared passages of 520 to 900 bytes that go on differently, in random order."""
+    for seed in range(6):
+        draw = random.Random(seed)
+        some = lambda n: bytes(draw.choice(b"abcd") for _ in range(n))
+        shared = [some(draw.randrange(520, 900)) for _ in range(8)]
+        parts = [some(draw.randrange(0, 90)) + draw.choice(shared) + some(draw.randrange(400, 500)) for _ in range(40)]
+        array = S.SuffixArray(parts)
+        text = b"".join(parts)
+        windows = [text[p : p + S.WIDTH] for p in array.windows.tolist()]
+        counts = collections.Counter(windows)
+        assert array.repeated()[array.windows].tolist() == [counts[w] > 1 for w in windows]
