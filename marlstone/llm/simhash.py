@@ -10,9 +10,10 @@ is missed. At each anchor, the homes are compared with the members by XOR and
 bit count.
 
 Copies share a fingerprint and are one node. What leaves an anchor is a forest
-of its links, not all of its pairs. An anchor that is home to many fingerprints
-is dealt out as blocks of homes times blocks of members, each compared by a task
-of its own, so none is gathered in one place and none is cut off.
+of its links, not all of its pairs. An anchor that is home to many fingerprints,
+or has many members, is dealt out as blocks of homes times blocks of members,
+each compared by a task of its own, so none is gathered in one place and none is
+cut off.
 
 Null and empty texts have fingerprint zero, linked like any other; very long ones
 are read whole, stretch by stretch. Rows with a null id get a fingerprint and
@@ -56,7 +57,9 @@ WIDE_DISTANCE = 28
 #: Homes of one anchor that one task compares, and pairs that are compared at once.
 BLOCK = 2048
 CELLS = 1 << 19
-#: Members of a hot anchor's block in that search, and the share of fingerprints that hot anchors are told by.
+#: Members of one anchor that one task compares with its homes.
+MEMBERS = 1 << 16
+#: Members of a hot anchor's block in the search for near-copies, and the share of fingerprints that hot anchors are told by.
 WIDE_BLOCK = 8192
 SAMPLED = 16
 #: Up to so many members of an anchor are compared step by step, for all anchors of a batch at once.
@@ -213,28 +216,30 @@ def links(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     near = anchors(fps)
     key = lambda half, anchor: F.shiftleft(half.cast("long"), 32).bitwiseOR(anchor)
-    homes = near.select(key(F.col("half"), F.col("home")).alias("key"), "fp", "rep")
-    members = near.select("half", F.explode(F.concat(F.array("home"), F.col("more"))).alias("anchor"), "fp", "rep").select(key(F.col("half"), F.col("anchor")).alias("key"), "fp", "rep")
-    counted = homes.groupBy("key").count().where(F.col("count") > BLOCK)
-    hot = checkpointed(counted.select(F.col("key").alias("hot"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    met = lambda of: of.select("half", F.explode(F.concat(F.array("home"), F.col("more"))).alias("anchor"), "fp", "rep").select(key(F.col("half"), F.col("anchor")).alias("key"), "fp", "rep")
+    homes, members = near.select(key(F.col("half"), F.col("home")).alias("key"), "fp", "rep"), met(near)
+    # an anchor of many homes or members is dealt out as blocks of either; members are estimated, as that changes who compares what, but not what is found
+    many_homes = homes.groupBy("key").count().where(F.col("count") > BLOCK).select(F.col("key").alias("hot"), F.ceil(F.col("count") / BLOCK).cast("int").alias("h"), F.lit(1).alias("m"))
+    some = met(anchors(fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0))).groupBy("key").count().withColumn("count", F.col("count") * SAMPLED)
+    many_members = some.where(F.col("count") > MEMBERS).select(F.col("key").alias("hot"), F.lit(1).alias("h"), F.ceil(F.col("count") / MEMBERS).cast("int").alias("m"))
+    hot = checkpointed(many_homes.unionByName(many_members).groupBy("hot").agg(F.max("h").alias("h"), F.max("m").alias("m")))
     n_hot = hot.count()
     if n_hot:
         table = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        others = F.sequence(F.lit(0), F.col("blocks") - 1)
-        pair = lambda a, b: a * F.col("blocks") + b
+        own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
 
-        def dealt(df: DataFrame, salt: Callable[[Column], Column]) -> DataFrame:
+        def dealt(df: DataFrame, others: str, salt: Callable[[Column], Column]) -> DataFrame:
             joined = df.join(table, F.col("key") == F.col("hot"), "left")
-            return joined.select("key", "fp", "rep", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(others, salt))).alias("salt"))
+            salts = F.transform(F.sequence(F.lit(0), F.col(others) - 1), salt)
+            return joined.select("key", "fp", "rep", F.explode(F.when(F.col("h").isNull(), F.array(F.lit(0))).otherwise(salts)).alias("salt"))
 
-        homes, members = dealt(homes, lambda b: pair(own, b)), dealt(members, lambda a: pair(a, own))
+        homes, members = dealt(homes, "m", lambda b: own("h") * F.col("m") + b), dealt(members, "h", lambda a: a * F.col("m") + own("m"))
     else:
         homes, members = homes.withColumn("salt", F.lit(0)), members.withColumn("salt", F.lit(0))
     cols = lambda df, member: df.select("key", "salt", F.lit(member).alias("member"), "fp", "rep")
-    met = cols(homes, 0).unionByName(cols(members, 1))
+    both = cols(homes, 0).unionByName(cols(members, 1))
     bounded_batches(spark)
-    return met.repartition("key", "salt").sortWithinPartitions("key", "salt", "member").mapInArrow(_compare, "u long, v long")
+    return both.repartition("key", "salt").sortWithinPartitions("key", "salt", "member").mapInArrow(_compare, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -85,6 +85,9 @@ def test_dense_groups_dealt_out_in_blocks(spark, monkeypatch):
     assert components_of(spark, fps) == want
     monkeypatch.setattr(simhash, "BROADCAST_HOT", 0)
     assert components_of(spark, fps) == want
+    monkeypatch.setattr(simhash, "MEMBERS", 20)
+    monkeypatch.setattr(simhash, "SAMPLED", 2)
+    assert components_of(spark, fps) == want
 
 
 def test_components_of_graphs(spark):
