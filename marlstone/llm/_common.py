@@ -16,8 +16,8 @@ from marlstone.sources.shipping import ship_package
 
 #: Bytes of one Arrow batch handed to a Python worker; a batch of very long
 #: texts is cut by bytes, one of short texts by rows.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 4000
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2000
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -47,7 +47,7 @@ MARK = "▁"
 #: Segments of more bytes than this are not put in the matrix; text bytes and matrix cells worked on at once.
 LONG = 64
 CHUNK_BYTES = 4 << 20
-CELLS = 4 << 20
+CELLS = 1 << 20
 #: Pairs of pieces remembered, some 100 bytes each.
 MOST_PAIRS = 1 << 19
 _LOADED: dict[str, Vocabulary] = {}
