@@ -21,7 +21,13 @@ are sorted alike. A window is repeated if it shares its width with a neighbour.
 
 Buckets larger than a shard are split into blocks. Each block has its own
 suffix array, and blocks are merged in pairs by binary search of one block's
-windows among those of the other, every pair in a task of its own.
+windows among those of the other, every pair in a task of its own. As the pairs
+grow with the square of the blocks, a bucket of more than ``MOST_BLOCKS`` is dealt
+anew before: equal windows have the bucket's hash at the same distance from their
+start, so its segments are cut by that distance into a few pieces, and all windows
+of a piece share the bytes around the hash, whose own hash names a new bucket.
+What is still too large then is cut into more pieces, up to one for each distance,
+where the shared bytes are the window.
 
 Spans depend on the text alone, so rows with the same text share them, and
 null or repeated ids do no harm; of rows that repeat a text, each loses all of
@@ -48,6 +54,9 @@ WIDTH = 400
 GRAM = 32
 SHARD_BYTES = 1 << 20
 MOST_PARTITIONS = 20_000
+#: Blocks of a bucket that are merged in pairs; a larger one is cut into pieces, in turn into so many.
+MOST_BLOCKS = 8
+PIECES = (4, 32, WIDTH - GRAM + 1)
 #: Bytes that windows are hashed over at once.
 BUFFER = 1 << 20
 SEGMENT_SCHEMA = "key long, s1 long, s2 long, t1 long, t2 long, ident string, start int, windows int, several boolean"
@@ -340,6 +349,55 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=[*made, "raw"])
 
 
+def pieces_of(raw: bytes, key: int, at: int, pieces: int) -> Iterator[tuple[int, int, int, int]]:
+    """(place, windows, place of the hash, bucket) of the pieces of a segment; ``at``: place of its hash, -1 where it is to be looked for."""
+    span = WIDTH - GRAM + 1
+    starts = np.arange(len(raw) - WIDTH + 1)
+    if at >= 0:
+        least = np.full(len(starts), at)
+    else:
+        places = np.nonzero((gram_hashes(np.frombuffer(raw, np.uint8)) ^ np.array(key, np.int64).view(np.uint64)) & ~_LOW == 0)[0]
+        least = places[np.searchsorted(places, starts)]
+    piece = (least - starts) * pieces // span
+    new = np.append(True, (piece[1:] != piece[:-1]) | (least[1:] != least[:-1]))
+    first = np.nonzero(new)[0]
+    for a, n in zip(first.tolist(), np.diff(np.append(first, len(starts))).tolist(), strict=True):
+        k, where = int(piece[a]), int(least[a])
+        nearest, farthest = -(-k * span // pieces), -(-(k + 1) * span // pieces) - 1
+        shared = raw[where - nearest : where + WIDTH - farthest]
+        yield a, n, where, xxhash.xxh3_64_intdigest(shared, seed=pieces * span + k)
+
+
+def _split(pieces: int):
+    """Segments (key, s1, s2, at, raw) to their pieces, as segments of new buckets, with the names of those that they are of.
+
+    Of equal pieces that are written together the first has the bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            held: set[tuple[int, int]] = set()
+            for key, s1, s2, at, raw in zip(*[batch.column(c).to_pylist() for c in ("key", "s1", "s2", "at", "raw")], strict=True):
+                for a, n, where, bucket in pieces_of(raw, key, at, pieces):
+                    own = raw[a : a + n + WIDTH - 1]
+                    t1, t2 = np.frombuffer(xxhash.xxh3_128_digest(own), np.int64).tolist()
+                    out.append((key, s1, s2, a, bucket - (1 << 64) if bucket >> 63 else bucket, t1, t2, where - a, None if (t1, t2) in held else own))
+                    held.add((t1, t2))
+                    if len(out) == 4096:
+                        yield _pieces_batch(out)
+                        out, held = [], set()
+            if out:
+                yield _pieces_batch(out)
+
+    return run
+
+
+def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["of_key", "of_s1", "of_s2", "place", "key", "s1", "s2", "at", "raw"])
+
+
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, spans of repeated windows) to the digest of what stays."""
     for batch in batches:
@@ -377,6 +435,52 @@ def _identity(text_col: str) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
+def _too_large() -> Column:
+    return F.col("size") > MOST_BLOCKS * SHARD_BYTES
+
+
+def _deal(mixed: DataFrame, size: Column, *carry: str) -> tuple[DataFrame, int]:
+    """(key, s1, s2, carry, block, shard, i, j) of segments (with their bucket's size), and the number of shards; of too large buckets i and j are -1."""
+    small = F.when(~_too_large(), size.cast("long"))
+    shards = max(1, round((mixed.agg(F.sum(small)).first()[0] or 0) / SHARD_BYTES))
+    blocks = F.when(_too_large(), 0).otherwise(F.ceil(F.col("size") / SHARD_BYTES)).cast("int")
+    own = F.when(blocks > 1, F.pmod(F.xxhash64("s1", "s2"), blocks).cast("int")).otherwise(0)
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    pairs = F.when(F.col("blocks") == 0, F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(pairs)
+    shard = F.when(F.col("blocks") != 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
+    dealt = mixed.withColumns({"blocks": blocks, "block": own}).select("key", "s1", "s2", *carry, "block", shard.alias("shard"), F.explode(pairs).alias("p"))
+    return dealt.select("key", "s1", "s2", *carry, "block", "shard", "p.i", "p.j"), shards
+
+
+def _solved(raw: DataFrame, shards: int) -> DataFrame:
+    """Runs of repeated windows of the segments dealt out; shards are of one size, so a partition for each."""
+    return raw.repartition(min(shards, MOST_PARTITIONS), "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(_solve, "key long, s1 long, s2 long, a int, b int")
+
+
+def _runs_in_pieces(hot: DataFrame, turn: int) -> DataFrame:
+    """(key, s1, s2, a, b): runs of repeated windows of the segments (key, s1, s2, at, raw) of too large buckets, by their pieces."""
+    name = ["key", "s1", "s2"]
+    # rows that repeat a text and its id repeat its segments too, which are repeated wherever they are
+    parts = stored(hot.mapInArrow(_split(PIECES[turn]), "of_key long, of_s1 long, of_s2 long, place int, key long, s1 long, s2 long, at int, raw binary"), "suffix")
+    again = parts.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key")
+    parts = stored(parts.join(again, "key", "left_semi"), "suffix")
+    # a window's distance from the hash differs all through a piece, so none is in it twice
+    distinct = stored(parts.groupBy(*name).agg(F.count("*").alias("times"), F.any_value("at").alias("at"), F.any_value("raw", F.lit(True)).alias("raw")), "suffix")
+    size = F.octet_length("raw")
+    buckets = checkpointed(distinct.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.sum(size.cast("long")).alias("size")))
+    known = distinct.join(buckets, F.col("key") == F.col("_key")).drop("_key")
+    runs = known.where("times > 1").select(*name, F.lit(0).alias("a"), (size - (WIDTH - 1)).alias("b"))
+    mixed = known.where("kinds > 1")
+    if turn + 1 < len(PIECES):
+        if buckets.where(_too_large() & (F.col("kinds") > 1)).head(1):
+            runs = runs.unionByName(_runs_in_pieces(mixed.where(_too_large()).select(*name, "at", "raw"), turn + 1))
+        mixed = mixed.where(~_too_large())
+    dealt, shards = _deal(mixed, size, "raw")
+    runs = runs.unionByName(_solved(dealt, shards))
+    at = [(F.col("place") + F.col(x)).alias(x) for x in ("a", "b")]
+    return checkpointed(parts.join(runs, name).select(F.col("of_key").alias("key"), F.col("of_s1").alias("s1"), F.col("of_s2").alias("s2"), *at))
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(t1, t2, spans): for each distinct text with any, the byte ranges of runs of repeated windows."""
     spark = df.sparkSession
@@ -397,21 +501,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = known.where("times > 1").select(*name, F.lit(0).alias("a"), F.col("one.windows").alias("b"))
     # segments that occur once are searched for, among them and those that occur more often
     mixed = known.where("kinds > 1 or (times = 1 and _several)")
-    shards = max(1, round((mixed.agg(F.sum(size.cast("long"))).first()[0] or 0) / SHARD_BYTES))
-    blocks = F.ceil(F.col("size") / SHARD_BYTES).cast("int")
-    own = F.when(blocks > 1, F.pmod(F.xxhash64("s1", "s2"), blocks).cast("int")).otherwise(0)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    shard = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
-    dealt = mixed.withColumns({"blocks": blocks, "block": own}).select(*name, "one", "block", shard.alias("shard"), F.explode(pairs).alias("p"))
+    dealt, shards = _deal(mixed, size, "one")
     wanted = dealt.groupBy("one.t1", "one.t2", "one.ident").agg(
-        F.collect_list(F.struct(*name, "shard", "block", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("wanted")
+        F.collect_list(F.struct(*name, "shard", "block", "i", "j", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("wanted")
     )
     long = rows.where(F.octet_length("text") >= WIDTH)
     cut = long.join(wanted.hint("shuffle_hash"), ["t1", "t2", "ident"]).select("text", "wanted")
     raw = cut.mapInArrow(_cut, "key long, s1 long, s2 long, shard long, block int, i int, j int, raw binary")
-    # shards are of one size, so a partition for each
-    solved = raw.repartition(min(shards, MOST_PARTITIONS), "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(_solve, "key long, s1 long, s2 long, a int, b int")
-    runs = whole.unionByName(solved)
+    runs = whole
+    if buckets.where(_too_large()).head(1):
+        raw = stored(raw, "suffix")
+        runs = runs.unionByName(_runs_in_pieces(raw.where("i < 0").select(*name, F.lit(-1).alias("at"), "raw"), 0))
+        raw = raw.where("i >= 0")
+    runs = runs.unionByName(_solved(raw, shards))
     at = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (WIDTH - 1)).alias("b"))
     return found.join(runs, name).groupBy("t1", "t2").agg(F.collect_set(at).alias("spans"))
 

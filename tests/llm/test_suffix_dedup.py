@@ -56,6 +56,40 @@ def test_blocks_of_large_buckets(make_docs, draw, monkeypatch):
     check(make_docs(texts), texts)
 
 
+def test_large_buckets_are_dealt_anew_by_pieces(make_docs, draw, monkeypatch):
+    texts = planted(draw)
+    common = "of one line that is in all of them, and of which no byte differs from text to text. " * 2
+    texts += [sentence(draw, draw.randrange(20, 90)) + common + sentence(draw, draw.randrange(20, 90)) for _ in range(60)]
+    near = sentence(draw, 60)
+    texts += [sentence(draw, draw.randrange(3)) + near + common + near[: draw.randrange(len(near))] + str(i) for i in range(40)]
+    turns = []
+    deal = S._runs_in_pieces
+    monkeypatch.setattr(S, "_runs_in_pieces", lambda hot, turn: turns.append(turn) or deal(hot, turn))
+    monkeypatch.setattr(S, "SHARD_BYTES", 700)
+    monkeypatch.setattr(S, "MOST_BLOCKS", 2)
+    texts += [texts[-1], texts[-1]]
+    check(make_docs(texts, ids=[*range(len(texts) - 2), len(texts) - 2, len(texts) - 2]), texts[:-1])
+    assert turns == [0, 1, 2]
+
+
+def test_pieces_hold_each_window_once_and_equal_windows_meet():
+    draw = random.Random(4)
+    raw = bytes(draw.choice(b"abc ") for _ in range(2500))
+    raw += raw[300:1300] + b"for " * 300 + raw[:700]
+    key, start, windows, _ = S.segments(np.frombuffer(raw, np.uint8), np.array([len(raw)]))
+    for pieces in S.PIECES:
+        met = {}
+        for k, s, n in zip(key.tolist(), start.tolist(), windows.tolist(), strict=True):
+            own = raw[s : s + n + S.WIDTH - 1]
+            seen = []
+            for a, m, where, bucket in S.pieces_of(own, k, -1, pieces):
+                assert [(b, c) for _, b, c, _ in S.pieces_of(own[a : a + m + S.WIDTH - 1], 0, where - a, pieces)] == [(m, where - a)]
+                for p in range(a, a + m):
+                    seen.append(p)
+                    assert met.setdefault(own[p : p + S.WIDTH], (k, bucket)) == (k, bucket)
+            assert seen == list(range(n))
+
+
 def test_long_texts_in_parts(make_docs, draw, monkeypatch):
     texts = planted(draw)
     texts.append(" ".join(texts))
