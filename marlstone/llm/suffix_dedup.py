@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm._common import bounded_batches, checkpointed, stored
+from marlstone.llm._common import bounded_batches, checkpointed, scratch, stored
 
 WIDTH = 400
 GRAM = 32
@@ -457,47 +457,50 @@ def _solved(raw: DataFrame, shards: int) -> DataFrame:
     return raw.repartition(min(shards, MOST_PARTITIONS), "shard", "i", "j").groupBy("shard", "i", "j").applyInArrow(_solve, "key long, s1 long, s2 long, a int, b int")
 
 
-def _runs_in_pieces(hot: DataFrame, turn: int) -> DataFrame:
+def _runs_in_pieces(hot: DataFrame, turn: int, folder: str | None) -> DataFrame:
     """(key, s1, s2, a, b): runs of repeated windows of the segments (key, s1, s2, at, raw) of too large buckets, by their pieces."""
     name = ["key", "s1", "s2"]
     # rows that repeat a text and its id repeat its segments too, which are repeated wherever they are
-    parts = stored(hot.mapInArrow(_split(PIECES[turn]), "of_key long, of_s1 long, of_s2 long, place int, key long, s1 long, s2 long, at int, raw binary"), "suffix")
+    parts = stored(hot.mapInArrow(_split(PIECES[turn]), "of_key long, of_s1 long, of_s2 long, place int, key long, s1 long, s2 long, at int, raw binary"), "suffix", folder)
     again = parts.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key")
-    parts = stored(parts.join(again, "key", "left_semi"), "suffix")
+    parts = stored(parts.join(again, "key", "left_semi"), "suffix", folder)
     # a window's distance from the hash differs all through a piece, so none is in it twice
-    distinct = stored(parts.groupBy(*name).agg(F.count("*").alias("times"), F.any_value("at").alias("at"), F.any_value("raw", F.lit(True)).alias("raw")), "suffix")
+    distinct = stored(parts.groupBy(*name).agg(F.count("*").alias("times"), F.any_value("at").alias("at"), F.any_value("raw", F.lit(True)).alias("raw")), "suffix", folder)
     size = F.octet_length("raw")
-    buckets = checkpointed(distinct.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.sum(size.cast("long")).alias("size")))
+    buckets = stored(distinct.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.sum(size.cast("long")).alias("size")), "suffix", folder)
     known = distinct.join(buckets, F.col("key") == F.col("_key")).drop("_key")
     runs = known.where("times > 1").select(*name, F.lit(0).alias("a"), (size - (WIDTH - 1)).alias("b"))
     mixed = known.where("kinds > 1")
     if turn + 1 < len(PIECES):
         if buckets.where(_too_large() & (F.col("kinds") > 1)).head(1):
-            runs = runs.unionByName(_runs_in_pieces(mixed.where(_too_large()).select(*name, "at", "raw"), turn + 1))
+            runs = runs.unionByName(_runs_in_pieces(mixed.where(_too_large()).select(*name, "at", "raw"), turn + 1, folder))
         mixed = mixed.where(~_too_large())
     dealt, shards = _deal(mixed, size, "raw")
     runs = runs.unionByName(_solved(dealt, shards))
     at = [(F.col("place") + F.col(x)).alias(x) for x in ("a", "b")]
-    return checkpointed(parts.join(runs, name).select(F.col("of_key").alias("key"), F.col("of_s1").alias("s1"), F.col("of_s2").alias("s2"), *at))
+    return stored(parts.join(runs, name).select(F.col("of_key").alias("key"), F.col("of_s1").alias("s1"), F.col("of_s2").alias("s2"), *at), "suffix", folder)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(t1, t2, spans): for each distinct text with any, the byte ranges of runs of repeated windows."""
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """(t1, t2, spans): for each distinct text with any, the byte ranges of runs of repeated windows.
+
+    ``folder`` holds the tables that it is made of; without one, the shared checkpoint folder does.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ident")
     rows = df.select(*_identity(text_col), ident, F.col(text_col).alias("text"))
-    found = stored(rows.where(F.octet_length("text") >= WIDTH).mapInArrow(_emit, SEGMENT_SCHEMA), "suffix")
+    found = stored(rows.where(F.octet_length("text") >= WIDTH).mapInArrow(_emit, SEGMENT_SCHEMA), "suffix", folder)
     # most keys occur once: they go before anything wider is dealt out
     again = found.groupBy("key").agg(F.count("*").alias("all"), F.max("several").alias("several")).where("all > 1 or several").select("key")
-    found = stored(found.join(again, "key", "left_semi"), "suffix")
+    found = stored(found.join(again, "key", "left_semi"), "suffix", folder)
     name = ["key", "s1", "s2"]
     distinct = found.groupBy(*name).agg(F.count("*").alias("times"), F.max("several").alias("several"), F.min(F.struct("t1", "t2", "ident", "start", "windows")).alias("one"))
-    distinct = checkpointed(distinct)
+    distinct = stored(distinct, "suffix", folder)
     size = F.col("one.windows") + (WIDTH - 1)
     buckets = distinct.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("kinds"), F.max("several").alias("_several"), F.sum(size.cast("long")).alias("size"))
-    buckets = checkpointed(buckets)  # else the join is tied to the sums' exchange, and a large bucket's rows cannot be split
-    known = checkpointed(distinct.join(buckets, F.col("key") == F.col("_key")).drop("_key"))
+    buckets = stored(buckets, "suffix", folder)  # else the join is tied to the sums' exchange, and a large bucket's rows cannot be split
+    known = stored(distinct.join(buckets, F.col("key") == F.col("_key")).drop("_key"), "suffix", folder)
     whole = known.where("times > 1").select(*name, F.lit(0).alias("a"), F.col("one.windows").alias("b"))
     # segments that occur once are searched for, among them and those that occur more often
     mixed = known.where("kinds > 1 or (times = 1 and _several)")
@@ -510,8 +513,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     raw = cut.mapInArrow(_cut, "key long, s1 long, s2 long, shard long, block int, i int, j int, raw binary")
     runs = whole
     if buckets.where(_too_large()).head(1):
-        raw = stored(raw, "suffix")
-        runs = runs.unionByName(_runs_in_pieces(raw.where("i < 0").select(*name, F.lit(-1).alias("at"), "raw"), 0))
+        raw = stored(raw, "suffix", folder)
+        runs = runs.unionByName(_runs_in_pieces(raw.where("i < 0").select(*name, F.lit(-1).alias("at"), "raw"), 0, folder))
         raw = raw.where("i >= 0")
     runs = runs.unionByName(_solved(raw, shards))
     at = F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (WIDTH - 1)).alias("b"))
@@ -520,7 +523,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``df``."""
-    spans = checkpointed(repeated_spans(df, id_col, text_col))
+    with scratch(df.sparkSession) as folder:
+        spans = checkpointed(repeated_spans(df, id_col, text_col, folder))
     rows = df.select(F.col(id_col), F.col(text_col).alias("text"), *_identity(text_col))
     long = F.coalesce(F.octet_length("text") >= WIDTH, F.lit(False))
     joined = rows.where(long).join(spans.hint("shuffle_hash"), ["t1", "t2"], "left").select(id_col, "text", "spans")

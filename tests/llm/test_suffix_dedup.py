@@ -64,7 +64,7 @@ def test_large_buckets_are_dealt_anew_by_pieces(make_docs, draw, monkeypatch):
     texts += [sentence(draw, draw.randrange(3)) + near + common + near[: draw.randrange(len(near))] + str(i) for i in range(40)]
     turns = []
     deal = S._runs_in_pieces
-    monkeypatch.setattr(S, "_runs_in_pieces", lambda hot, turn: turns.append(turn) or deal(hot, turn))
+    monkeypatch.setattr(S, "_runs_in_pieces", lambda hot, turn, folder: turns.append(turn) or deal(hot, turn, folder))
     monkeypatch.setattr(S, "SHARD_BYTES", 700)
     monkeypatch.setattr(S, "MOST_BLOCKS", 2)
     texts += [texts[-1], texts[-1]]
@@ -97,6 +97,15 @@ def test_long_texts_in_parts(make_docs, draw, monkeypatch):
     check(make_docs(texts), texts)
 
 
+def test_intermediate_tables_are_removed(spark, make_docs, draw):
+    texts = planted(draw)
+    out = S.remove_repeats(make_docs(texts))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    left = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    assert not [x for x in left if x.getPath().getName().startswith(("scratch-", "suffix-"))]
+    assert out.count() == len(texts)  # what is returned does not need them
+
+
 def test_null_and_repeated_ids(make_docs, draw):
     a, b = sentence(draw, 120), sentence(draw, 130)
     out = S.remove_repeats(make_docs([a, b, a, b, None], ids=[1, 1, None, None, None])).collect()
