@@ -216,6 +216,8 @@ class SuffixArray:
             open_ = open_[~(last & np.append(True, last[:-1]))]
             h *= 2
         self.windows = sa[self.valid[sa]]
+        # windows of one group are equal, so its first is searched for and among, in place of all
+        self.first = np.append(True, np.diff(rank[self.windows]) != 0)[: len(self.windows)]
 
     def repeated(self) -> np.ndarray:
         """Of every position: does a window start there that another position of these segments has too?"""
@@ -259,31 +261,32 @@ class SuffixArray:
     def found_in(self, other: SuffixArray) -> np.ndarray:
         """Of every position: does a window start there that ``other`` has? By binary search of all windows at once."""
         out = np.zeros(self.n, bool)
-        w, o = self.windows, other.windows
+        w, o = self.windows[self.first], other.windows[other.first]
         if not len(w) or not len(o):
             return out
         low, high = np.zeros(len(w), np.int64), np.full(len(w), len(o), np.int64)
+        # what a window has in common with those at both bounds, it has with all between them
+        below, above = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
         while (act := np.nonzero(low < high)[0]).size:
             mid = (low[act] + high[act]) // 2
-            less = self._compare(w[act], other, o[mid]) > 0
-            low[act[less]] = mid[less] + 1
-            high[act[~less]] = mid[~less]
-        at = np.nonzero(low < len(o))[0]
-        out[w[at[self._compare(w[at], other, o[low[at]]) == 0]]] = True
+            common, greater = self._compare(w[act], other, o[mid], np.minimum(below[act], above[act]))
+            up, down = act[greater], act[~greater]
+            low[up], below[up] = mid[greater] + 1, common[greater]
+            high[down], above[down] = mid[~greater], common[~greater]
+        out[self.windows[(above >= WIDTH)[np.cumsum(self.first) - 1]]] = True
         return out
 
-    def _compare(self, mine: np.ndarray, other: SuffixArray, theirs: np.ndarray) -> np.ndarray:
-        """Sign of the comparison of windows, eight bytes at a time."""
-        sign = np.zeros(len(mine), np.int64)
-        rows = np.arange(len(mine))
-        for k in range(0, WIDTH, 8):
-            a, b = self.eight[mine[rows] + k], other.eight[theirs[rows] + k]
-            apart = a != b
-            sign[rows[apart]] = np.where(a[apart] > b[apart], 1, -1)
-            rows = rows[~apart]
-            if not len(rows):
-                break
-        return sign
+    def _compare(self, mine: np.ndarray, other: SuffixArray, theirs: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(common bytes by eights, whether mine is greater) of windows whose first ``common`` bytes are known to be equal."""
+        common, greater = common.copy(), np.zeros(len(mine), bool)
+        rows = np.nonzero(common < WIDTH)[0]
+        while len(rows):
+            a, b = self.eight[mine[rows] + common[rows]], other.eight[theirs[rows] + common[rows]]
+            greater[rows] = a > b
+            rows = rows[a == b]
+            common[rows] += 8
+            rows = rows[common[rows] < WIDTH]
+        return common, greater
 
 
 def _stretches(starts: np.ndarray, counts: np.ndarray, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
