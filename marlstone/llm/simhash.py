@@ -133,6 +133,35 @@ def anchors(fps: DataFrame, words: tuple[str, ...] = ("fp",)) -> DataFrame:
     return step.select(*words, "rep", "half", "home", F.concat(pairs, free).alias("more"))
 
 
+def _flips() -> np.ndarray:
+    """By syndrome, what to flip in a half for each of its anchors, the home first; a codeword has two, the rest of its row repeat the home."""
+    out = np.zeros((32, 17), np.int64)
+    for s in range(32):
+        home = 1 << (s - 1) if s else 0
+        pairs = [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i < i ^ s <= 31] if s else [home] * 15
+        out[s] = [home, home | 1 << 31, *pairs]
+    return out
+
+
+FLIPS = _flips()
+#: Syndromes of the four bytes of a half, each over all its values.
+BYTE_SYNDROMES = np.array([[reduce(int.__xor__, (8 * k + b + 1 for b in range(8) if v >> b & 1 and 8 * k + b < 31), 0) for v in range(256)] for k in range(4)], np.int64)
+
+
+def _met_before(key: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether both of each pair of fingerprints are members of an anchor before ``key`` too, in the order of keys."""
+    half, anchor = key >> 32 & 0xFF, key & 0xFFFFFFFF
+    out = np.zeros(len(key), bool)
+    for h in range(2 * len(a)):
+        x, y = ((w[h // 2] >> 32 * (h % 2)) & 0xFFFFFFFF for w in (a, b))
+        syndrome = reduce(np.bitwise_xor, (BYTE_SYNDROMES[k][x >> 8 * k & 0xFF] for k in range(4)))
+        own = x[:, None] ^ FLIPS[syndrome]
+        # a codeword within distance two of the other is an anchor of it
+        before = (h < half)[:, None] | ((h == half)[:, None] & (own < anchor[:, None]))
+        out |= (before & (np.bitwise_count(own ^ y[:, None]) <= 2)).any(1)
+    return out
+
+
 def _apart(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Bits in which fingerprints differ, word by word summed; of a signed number, numpy counts the absolute value's bits."""
     return sum(np.bitwise_count((x ^ y).view(np.uint64)) for x, y in zip(a, b, strict=True))
@@ -268,13 +297,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches are sorted by (key, words): links that join what is near in each group.
 
     A link of i and j is left out where one before both is near both: it joins
-    them then, by links of its own or of ones before it.
+    them then, by links of its own or of ones before it. It is left out, too,
+    where both are members of an anchor before this one, which joins them. So a
+    pair is told by one anchor, and not by each of the many that copies share.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def made(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, *fps = columns
-        rep = np.bitwise_xor.reduce(fps)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         starts = np.nonzero(new)[0]
@@ -289,14 +319,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.append((i, i + step))
         for i, j in pairs:
             new_ = (lower[i] & lower[j]) == 0
-            found.append((rep[i[new_]], rep[j[new_]]))
+            found.append((i[new_], j[new_]))
         for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-            own = [x[a : a + n] for x in fps]
-            found += _forest(own, rep[a : a + n], own, rep[a : a + n], np.arange(n), WIDE_DISTANCE)
+            own, at = [x[a : a + n] for x in fps], np.arange(a, a + n)
+            found += _forest(own, at, own, at, np.arange(n), WIDE_DISTANCE)
         if found:
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+            i, j = np.sort([np.concatenate(x) for x in zip(*found, strict=True)], axis=0)
+            i, j = np.divmod(np.unique((i * len(key) + j)[i < j]), len(key))
+            a, b = [x[i] for x in fps], [x[j] for x in fps]
+            first = (_apart(a, b) > WIDE_DISTANCE) | ~_met_before(key[i], a, b)  # what is joined through a third may be apart there
+            i, j = i[first], j[first]
+            if len(i):
+                rep = np.bitwise_xor.reduce(fps)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], schema=schema)
 
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -319,7 +354,10 @@ def node_of(words: list[str]) -> Column:
 
 
 def wide_links(fps: DataFrame) -> DataFrame:
-    """(u, v): links between the numbers of wide fingerprints that share an anchor and are near; ``fps`` has one row per fingerprint (f0, f1, ...)."""
+    """(u, v): links between the numbers of wide fingerprints that share an anchor and are near; ``fps`` has one row per fingerprint (f0, f1, ...).
+
+    A pair may be told again by blocks of a hot anchor.
+    """
     words = [f"f{i}" for i in range(len(WIDE))]
     key = F.shiftleft(F.col("half").cast("long"), 32).bitwiseOR(F.col("anchor"))
 
@@ -339,7 +377,7 @@ def wide_links(fps: DataFrame) -> DataFrame:
         salted = joined.withColumn("salt", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
         rows = salted.select(F.shiftleft("salt", 40).bitwiseOR(F.col("key")).alias("key"), *words)
     bounded_batches(fps.sparkSession)
-    return rows.repartition("key").sortWithinPartitions("key", *words).mapInArrow(_meet, "u long, v long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", *words).mapInArrow(_meet, "u long, v long")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

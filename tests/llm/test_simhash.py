@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from llm_helpers import ODD, sentence
 
@@ -176,3 +177,58 @@ def test_what_goes_has_a_near_copy_that_stays(spark):
     for i in sets.keys() - kept:
         assert any(alike(sets[i], sets[j]) for j in kept)
     assert kept == brute_kept(docs.doc_id, docs.text)
+
+
+def codewords_near(x):
+    """All words of the covering code within two bits of a half, by trying each."""
+    syndrome = lambda y: np.bitwise_xor.reduce([i for i in range(1, 32) if y >> i - 1 & 1] or [0])
+    flips = [0, *(1 << i for i in range(32)), *(1 << i | 1 << j for i in range(32) for j in range(i))]
+    return [x ^ f for f in flips if syndrome(x ^ f) == 0]
+
+
+def wide_copies(draw, groups, apart):
+    """Fingerprints of 128 bits, of distinct numbers: groups of so many, each member up to ``apart`` bits from its group's middle."""
+    out = []
+    for n in groups:
+        middle = draw.getrandbits(128)
+        out += [middle ^ sum(1 << b for b in draw.sample(range(128), draw.randrange(apart + 1))) for _ in range(n)]
+    return list({(x & (1 << 64) - 1) ^ x >> 64: x for x in out}.values())
+
+
+def test_near_copies_are_linked_by_one_of_the_anchors_that_they_share(draw):
+    """All that is near at an anchor is joined, and no pair is told twice, however many anchors it shares."""
+    fps = wide_copies(draw, (300, 3, 3, 20), 18)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [(signed(x & (1 << 64) - 1), signed(x >> 64)) for x in fps]
+    rows, groups = [], {}
+    for n, x in enumerate(fps):
+        for half in range(4):
+            for anchor in codewords_near(x >> 32 * half & 0xFFFFFFFF):
+                rows.append((half << 32 | anchor, *words[n]))
+                groups.setdefault((half, anchor), []).append(n)
+    columns = [pa.array(c, pa.int64()) for c in zip(*sorted(rows), strict=True)]
+    table = pa.RecordBatch.from_arrays(columns, names=["key", "f0", "f1"])
+    cuts = range(0, len(rows), 700)
+    told = [(u, v) for b in simhash._meet(table.slice(k, 700) for k in cuts) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    number = {a ^ b: n for n, (a, b) in enumerate(words)}
+    pairs = [tuple(sorted((number[u], number[v]))) for u, v in told]
+
+    def joined(edges):
+        parent = list(range(len(fps)))
+
+        def find(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return [find(i) for i in range(len(fps))]
+
+    near = {(i, j) for g in groups.values() for i in g for j in g if i < j and (fps[i] ^ fps[j]).bit_count() <= simhash.WIDE_DISTANCE}
+    assert joined(pairs) == joined(near)
+    apart = [p for p in pairs if p not in near]  # joined through a third
+    direct = [p for p in pairs if p in near]
+    assert len(direct) == len(set(direct)) and len(apart) <= len(fps)
