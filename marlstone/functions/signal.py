@@ -171,7 +171,7 @@ def slope(x: Sig, rows: int, least: int) -> Sig:
 
 
 def history_rank(x: Sig, least: int) -> Sig:
-    """Share of the code's own history, this row included, that is below; ties count half and a half more."""
+    """Share of the code's own history, this row included, that is below; ties, of quantised values, count half and a half more."""
     return Sig("history_rank", (x, least))
 
 
@@ -312,8 +312,9 @@ class Lowering:
                 parts = F.transform(h, lambda v, i: (i - (m - 1) / 2) * v)
                 return F.when(m >= a[2], F.aggregate(parts, F.lit(0.0), lambda u, v: u + v) / (m * (m * m - 1) / 12))
             case "history_rank":
-                h = F.collect_list(x).over(self._rows(None))
-                below, ties = F.size(F.filter(h, lambda t: t < x)), F.size(F.filter(h, lambda t: t == x))
+                h = F.collect_list(quantised(x)).over(self._rows(None))
+                own = F.element_at(h, -1)
+                below, ties = F.size(F.filter(h, lambda t: t < own)), F.size(F.filter(h, lambda t: t == own))
                 return F.when(x.isNotNull() & (F.size(h) >= a[1]), (below + (ties + 1) / 2) / F.size(h))
             case "beta":
                 w, y = self._rows(a[2]), self.column(a[1])

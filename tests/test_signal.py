@@ -84,6 +84,27 @@ def test_history_rank(frame, panel):
     np.testing.assert_allclose(values(frame, panel, S.history_rank(X, 10)), want)
 
 
+def test_history_rank_of_equal_windows_is_a_tie(spark):
+    """A value that enters as its equal leaves changes a window's order only, and so the last bits of its deviation."""
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for code in range(12):
+        x = rng.normal(0, 3, 100)
+        for i in range(20, 100, 7):
+            x[i] = x[i - 20]
+        rows += [(d, code, float(v)) for d, v in enumerate(x)]
+        windows = [tuple(sorted(x[max(0, d - 19) : d + 1])) for d in range(100)]
+        deviations = {w: np.std(w, ddof=1) for w in windows if len(w) > 9}
+        for d in range(100):
+            seen = [w for w in windows[9 : d + 1]]
+            ties = sum(w == windows[d] for w in seen)
+            below = sum(deviations[w] < deviations[windows[d]] for w in seen if w != windows[d])
+            want.append((below + (ties + 1) / 2) / len(seen) if len(seen) >= 60 else np.nan)
+    panel = pd.DataFrame(rows, columns=["date", "code", "x"])
+    got = values(spark.createDataFrame(panel), panel, S.history_rank(S.std(X, 20, 10), 60))
+    np.testing.assert_allclose(got, want, atol=1e-12)
+
+
 def test_slope_leaves_nulls_out(frame, panel):
     def slope(w):
         v = w[~np.isnan(w)]
